@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 MOST_HOT = 2000
 
 
-def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], n: str, how: str = "inner", least: int = 200_000) -> DataFrame:
+def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], n: str, spread: str, how: str = "inner", least: int = 200_000) -> DataFrame:
     """facts joined with dim on keys; dim has one row for a key and, in column n, the number of its rows in facts.
 
     A key with more than max(least, total / MOST_HOT) rows is hot. There are fewer than MOST_HOT of them, so the list of
-    hot keys is broadcast whatever the size of the data; facts' rows of a hot key are dealt over slices, and dim's row of
-    it is repeated for each slice. Other keys are joined as they are. n isn't in the result. A null key matches nothing.
+    hot keys is broadcast whatever the size of the data; facts' rows of a hot key are dealt over slices by a hash of the
+    column spread, so that a repeated task deals them alike, and dim's row of it is repeated for each slice. Other keys are joined as they are. n isn't in the result. A null key matches nothing.
     """
     spark = facts.sparkSession
     total = dim.agg(F.sum(n)).first()[0] or 0
@@ -24,7 +24,7 @@ def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], n: str, how
     if not rows:
         return facts.join(dim.drop(n), keys, how)
     hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
-    slice_of = F.when(F.col("__slices").isNull(), 0).otherwise((F.rand(7) * F.col("__slices")).cast("int"))
+    slice_of = F.when(F.col("__slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__slices")).cast("int"))
     left = facts.join(hot, keys, "left").withColumn("__slice", slice_of).drop("__slices")
     right = dim.join(hot, keys, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)) - 1))).drop("__slices", n)
     return left.join(right, [*keys, "__slice"], how).drop("__slice")
@@ -52,14 +52,26 @@ def dense_rank_within(df: DataFrame, key: list[str], order: list[Column], slice_
 def running_total(df: DataFrame, key: list[str], weight: str, order_hash: str, tie: str, slices: int, name: str = "before") -> DataFrame:
     """Adds the sum of weight over the rows of the same key that precede a row by (order_hash, tie), a BIGINT hash and a unique column.
 
-    The hash's range is cut into slices; a row's total is the sum of the earlier slices plus that of its own slice's
+    The hash's range is cut into slices, a power of two; a row's total is the sum of the earlier slices plus that of its own slice's
     earlier rows, so no task holds all rows of a key.
     """
-    width = (1 << 64) // slices + 1
-    df = df.withColumn("__slice", F.floor((F.col(order_hash).cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int"))
+    bits = max(1, (slices - 1).bit_length())
+    df = df.withColumn("__slice", F.shiftright(order_hash, 64 - bits))
     sums = df.groupBy(*key, "__slice").agg(F.sum(weight).alias("__sum"))
     earlier = Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*key, "__slice", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
     inside = Window.partitionBy(*key, "__slice").orderBy(order_hash, tie).rowsBetween(Window.unboundedPreceding, -1)
     out = df.withColumn("__own", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     return out.join(starts, [*key, "__slice"]).withColumn(name, (F.col("__start") + F.col("__own")).cast("long")).drop("__slice", "__start", "__own")
+
+
+def salted_pairs(members: DataFrame, key: str, row_id: str, n: str, carry: list[str], least: int = 2_000) -> DataFrame:
+    """All pairs of different rows with the same key, the smaller row_id first, as row_id_a, row_id_b and carry's columns with _a and _b.
+
+    n is the number of rows with the key. The left rows of a large group are dealt over slices and the right rows repeated
+    for each, so that a task makes at most some millions of pairs. For groups whose pairs are themselves the result.
+    """
+    slices = F.ceil(F.col(n) / least).cast("int")
+    left = members.select(key, F.pmod(F.xxhash64(row_id), slices).cast("int").alias("__slice"), F.col(row_id).alias(f"{row_id}_a"), *[F.col(c).alias(f"{c}_a") for c in carry])
+    right = members.select(key, F.explode(F.sequence(F.lit(0), slices - 1)).alias("__slice"), F.col(row_id).alias(f"{row_id}_b"), *[F.col(c).alias(f"{c}_b") for c in carry])
+    return left.join(right, [key, "__slice"]).where(F.col(f"{row_id}_a") < F.col(f"{row_id}_b")).drop(key, "__slice")

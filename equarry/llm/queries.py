@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from equarry.llm import layouts, lookalike, neardup, splits
+from equarry.llm import entries, layouts, lookalike, mixing, neardup, packing, splits
 from equarry.sources.tables import table
 
 
@@ -46,4 +46,37 @@ def p8_texts(spark, folder):
     return lookalike.text_forms(documents).select("doc_id", "form", (F.md5("form") != F.col("stored")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_groups, p5_found, p5_records, p8_found, p8_texts)}
+def _mapped(spark, folder):
+    return entries.mapped_values(*(table(spark, folder, t) for t in ("equations", "domain_list", "quantity_list")))
+
+
+def p4_found(spark, folder):
+    return _mapped(spark, folder).select("row_id", "field", "symbol", "entry_id")
+
+
+def p4_unmatched(spark, folder):
+    """Each value that stands for no entry, with the number of its rows."""
+    return _mapped(spark, folder).where("entry_id = 0").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def p6_containers(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+def p6_fill(spark, folder):
+    return packing.fill_report(packing.pack_documents(table(spark, folder, "documents")))
+
+
+def p7_selection(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark, folder):
+    targets = table(spark, folder, "mix_targets")
+    return mixing.mix_report(mixing.mix(table(spark, folder, "documents"), targets), targets)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_splits, p1_shares, p2_found, p2_groups, p4_found, p4_unmatched, p5_found, p5_records, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_texts)
+}

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +122,30 @@ def shortened(words: list[str]):
             yield [w[:n] if i in some and len(w) > n + 1 else w for i, w in enumerate(words)]
 
 
+def letters(s: str) -> list[int]:
+    """How often each letter occurs, all digits as one and all else as one."""
+    out = [0] * 28
+    for ch in s:
+        out[ord(ch) - 97 if "a" <= ch <= "z" else 26 if ch.isdigit() else 27] += 1
+    return out
+
+
+class Letters:
+    """Tells which strings may be near: an edit changes one letter of a string's letters at most, an exchange none."""
+
+    def __init__(self, strings):
+        strings = list(strings)
+        self.counts = np.array([letters(s) for s in strings], np.int16).reshape(-1, 28)
+        self.limits = np.array([allowed(len(s)) for s in strings], np.int16)
+
+    def least(self, query: str) -> int | None:
+        """A lower bound of the distance to the nearest string that is near enough; None if there is none."""
+        more = self.counts - np.array(letters(query), np.int16)
+        bound = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        near = bound[bound <= self.limits]
+        return int(near.min()) if len(near) else None
+
+
 @dataclass
 class Matcher:
     """One reference list (or a shard of it) ready for search; entries are (id, name)."""
@@ -145,6 +170,7 @@ class Matcher:
         self.noisy: dict[str, bool] = {}
         self.ends = [(q.replace(" ", ""), True) for q in self.before] + [(q.replace(" ", ""), False) for q in self.after]
         self.tree, self.short_tree = BKTree(self.forms), BKTree(self.short)
+        self.letters, self.short_letters = Letters(self.forms), Letters(self.short)
 
     def _noisy(self, w: str) -> bool:
         if w not in self.noisy:
@@ -174,23 +200,23 @@ class Matcher:
     def best(self, value: str) -> tuple[int, int]:
         """(cost, entry) of the nearest entry, (99, 0) where none is near enough or two are equally near."""
         readings = self.readings(split_words(value))
-        kinds = ((self.tree, self.forms), (self.short_tree, self.short)) if "." in value else ((self.tree, self.forms),)
+        kinds = ((self.tree, self.forms, self.letters), (self.short_tree, self.short, self.short_letters))[: 2 if "." in value else 1]
         for text in readings:
-            for _, known in kinds:
+            for _, known, _ in kinds:
                 if len(hit := known.get(text, ())) == 1:
                     return 0, next(iter(hit))
         found: dict[int, int] = {}
-        for near, far in ((0, 2), (3, 6)):
-            for text in readings:
+        likely = [(least, text, tree, known) for text in readings for tree, known, bags in kinds if (least := bags.least(text)) is not None]
+        for near, far in ((0, 1), (2, 2), (3, 6)):
+            for least, text, tree, known in likely:
                 radius = min(far, max(1, len(text) * 2 // 5))
-                if radius < near:
+                if radius < max(near, least):
                     continue
-                for tree, known in kinds:
-                    for _, s in tree.search(text, radius):
-                        cost = typing_distance(text, s)
-                        if cost <= allowed(len(s)):
-                            for key in known[s]:
-                                found[key] = min(cost, found.get(key, 99))
+                for _, s in tree.search(text, radius):
+                    cost = typing_distance(text, s)
+                    if cost <= allowed(len(s)):
+                        for key in known[s]:
+                            found[key] = min(cost, found.get(key, 99))
                 if found and min(found.values()) <= 1:
                     break
             if found:

@@ -9,6 +9,7 @@ from equarry.functions.text import filled, filled_items, norm, terms
 from equarry.operators.cases import case_symbols
 from equarry.operators.corpus import candidates, equation_text, keyed_equations
 from equarry.operators.skew import places, running_total, slices_for
+from equarry.session import materialize
 
 VOCABULARY, TEXT_WEIGHT, SYMBOL_WEIGHT, DIGITS = 50_000, 0.7, 0.3, 6
 #: Case rows that serve as queries: every row whose id is divisible by this, against all equations.
@@ -55,7 +56,7 @@ class Index:
     def __init__(self, equations: DataFrame):
         self.rows = indexed(equations)
         texts = self.rows.select(F.col("idx").alias("id"), equation_text().alias("text"))
-        counts = term_counts(texts)
+        counts = materialize(term_counts(texts), "counts")
         self.vocab = vocabulary(counts, texts)
         self.weights = weights(counts, self.vocab)
         self.symbols = self.rows.select("idx", F.array_distinct(F.filter(F.transform(F.map_keys("variables"), norm), lambda x: x != "")).alias("s")).select("idx", F.explode("s").alias("symbol"), F.size("s").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from equarry.functions.text import filled_items, global_key
 from equarry.operators.skew import salted_lookup
-from equarry.session import shared_folder
+from equarry.session import materialize, shared_folder
 
 PARENTS = "ref_key string, arrived_at timestamp_ntz, retired_at timestamp_ntz"
 REFS = "table_name string, row_id bigint, ref_key string, created_at timestamp_ntz, arrived_at timestamp_ntz, retired_at timestamp_ntz"
@@ -99,7 +99,8 @@ class OrphanTracker:
         out = kept
         if probing is not None:
             counts = probing.groupBy("ref_key").agg(F.count(F.lit(1)).alias("n"))
-            found = salted_lookup(probing, counts.join(index, "ref_key", "left"), ["ref_key"], "n", "row_id")
+            told_times = materialize(counts.join(index, "ref_key", "left"), "parents")  # read twice below
+            found = salted_lookup(probing, told_times, ["ref_key"], "n", "row_id")
             out = found if kept is None else kept.unionByName(found)
         if out is None:
             out = self.spark.createDataFrame([], REFS)

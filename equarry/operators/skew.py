@@ -12,18 +12,18 @@ MOST_HOT = 2000
 def salted_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], n: str, spread: str, how: str = "inner", least: int = 200_000) -> DataFrame:
     """facts joined with dim on keys; dim has one row for a key and, in column n, the number of its rows in facts.
 
-    A key with more than max(least, total / MOST_HOT) rows is hot. There are fewer than MOST_HOT of them, so the list of
-    hot keys is broadcast whatever the size of the data; facts' rows of a hot key are dealt over slices by a hash of the
-    column spread, so that a repeated task deals them alike, and dim's row of it is repeated for each slice. Other keys are joined as they are. n isn't in the result. A null key matches nothing.
+    A key with more than least rows is hot, at most the MOST_HOT most frequent ones; any other has fewer than a MOST_HOT-th of
+    all rows. So the list of hot keys is broadcast whatever the size of the data; facts' rows of a hot key are dealt over
+    slices by a hash of the column spread, so that a repeated task deals them alike, and dim's row of it is repeated for
+    each slice. Other keys are joined as they are. n isn't in the result. A null key matches nothing.
     """
     spark = facts.sparkSession
-    total = dim.agg(F.sum(n)).first()[0] or 0
-    size = max(least, total // MOST_HOT)
-    hot = dim.where(F.col(n) > size).select(*keys, F.ceil(F.col(n) / size).cast("int").alias("__slices"))
+    hot = dim.where(F.col(n) > least).orderBy(F.desc(n)).limit(MOST_HOT).select(*keys, F.col(n).cast("long").alias("__slices"))
     rows = hot.collect()
     if not rows:
         return facts.join(dim.drop(n), keys, how)
-    hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
+    size = max(least, rows[-1]["__slices"]) if len(rows) == MOST_HOT else least
+    hot = F.broadcast(spark.createDataFrame(rows, hot.schema).withColumn("__slices", F.ceil(F.col("__slices") / size).cast("int")))
     slice_of = F.when(F.col("__slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__slices")).cast("int"))
     left = facts.join(hot, keys, "left").withColumn("__slice", slice_of).drop("__slices")
     right = dim.join(hot, keys, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)) - 1))).drop("__slices", n)

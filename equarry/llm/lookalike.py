@@ -161,12 +161,14 @@ def _ranges(chars) -> str:
 
 #: Characters that stay as they are in any text of which all others are such characters, too.
 SETTLED = "\n\t" + "".join(c for c in map(chr, [*range(0x20, 0x250), *range(0x370, 0x400), *range(0x2012, 0x2028), *range(0x20A0, 0x20C0)]) if unicodedata.category(c) not in ("Cc", "Cf", "Cn") and unicodedata.normalize("NFC", form_of(c)) == c)
+#: A character that isn't settled; ASCII letters, most of any text, are passed by the first part of the class alone.
+UNSETTLED = f"[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{10ffff}}&&[^{_ranges([c for c in SETTLED if ord(c) > 0x7E])}]]"
 #: Single characters that become another single settled one; the JVM replaces them.
 SINGLE = {c: form_of(c) for c in map(chr, [0xA0, 0xB5, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 0x2010, 0x2011, 0x2126])}
 
 
 def _single(c: Column) -> Column:
-    return F.translate(c, "".join(SINGLE), "".join(SINGLE.values()))
+    return F.when(c.rlike(f"[\\x80-\\x{{10ffff}}&&[{_ranges(SINGLE)}]]"), F.translate(c, "".join(SINGLE), "".join(SINGLE.values()))).otherwise(c)
 
 
 def _mapped(batches):
@@ -181,7 +183,7 @@ def text_forms(documents: DataFrame) -> DataFrame:
     handled whole. Letters that look alike are written in Latin, in Russian words in Cyrillic; Greek words aren't put back.
     """
     rows = documents.where("text <> ''").select("doc_id", F.md5("text").alias("stored"), _single(F.col("text")).alias("form"))
-    other = F.col("form").rlike(f"[^{_ranges(SETTLED)}]")
+    other = F.col("form").rlike(UNSETTLED)
     return rows.where(~other).unionByName(rows.where(other).mapInArrow(_mapped, "doc_id bigint, stored string, form string"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from equarry.operators.skew import places, running_total, slices_for
 from equarry.session import materialize
 
 VOCABULARY, TEXT_WEIGHT, SYMBOL_WEIGHT, DIGITS = 50_000, 0.7, 0.3, 6
+#: Negatives of a training case, and the increment and factors of the generator (SplitMix64) that draws them.
+NEGATIVES, GAMMA, MIX = 128, 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Up to so many candidates' ids go to the tasks as one array; more are joined to the draws.
+MOST_SENT = 5_000_000
 #: Case rows that serve as queries: every row whose id is divisible by this, against all equations.
 EVERY = 100
 
@@ -138,3 +144,54 @@ def sampled_negatives(cases: DataFrame, rows: DataFrame, n: int = 5, tries: int
     kept = draws.join(placed, "at").join(positives(cases, rows), ["row_id", "idx"], "left_anti")
     place = F.row_number().over(Window.partitionBy("row_id").orderBy("t"))
     return kept.withColumn("place", place).where(F.col("place") <= n).select("row_id", "place", "idx")
+
+
+def mix64(z: np.ndarray) -> np.ndarray:
+    """SplitMix64's output function on unsigned 64-bit numbers."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[0])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[1])
+    return z ^ (z >> np.uint64(31))
+
+
+def drawn_places(row_ids: np.ndarray, taken: list[np.ndarray], count: int, n: int) -> list[np.ndarray]:
+    """For each case the first n draws among count places that aren't taken, with replacement; none where all places are taken.
+
+    Draw t of a case is mix64(mix64(row_id) + t GAMMA) modulo count. Cases that lack some are drawn for again until they have n.
+    """
+    start, out = mix64(row_ids.astype(np.int64).view(np.uint64)), [np.zeros(0, np.int64) for _ in row_ids]
+    left, done, width = np.array([i for i, x in enumerate(taken) if len(x) < count], np.int64), 0, n + 16
+    while len(left):
+        for part in np.array_split(left, -(-len(left) * width // 1_000_000)):
+            t = np.arange(done + 1, done + width + 1, dtype=np.uint64) * np.uint64(GAMMA)
+            at = (mix64(start[part, None] + t) % np.uint64(count)).astype(np.int64)
+            ban = np.sort(np.concatenate([i * count + np.asarray(taken[r], np.int64) for i, r in enumerate(part)]))
+            key = np.arange(len(part))[:, None] * count + at
+            free = ban[np.minimum(np.searchsorted(ban, key), len(ban) - 1)] != key if len(ban) else np.ones(at.shape, bool)
+            kept, ends = at[free], np.cumsum(free.sum(1))
+            for r, x in zip(part, np.split(kept, ends[:-1])):
+                out[r] = np.concatenate([out[r], x])[:n] if len(out[r]) else x[:n]
+        left, done, width = np.array([r for r in left if len(out[r]) < n], np.int64), done + width, min(width * 2, 65_536)
+    return out
+
+
+def negatives(cases: DataFrame, rows: DataFrame, n: int = NEGATIVES, most_sent: int = MOST_SENT) -> DataFrame:
+    """(row_id, negatives): for every case the idx of n candidates that it doesn't name, drawn with replacement, in the order of draws.
+
+    It is empty only where a case names all candidates. A case's draws depend on nothing but its row_id and the candidates.
+    """
+    placed = places(rows.select("key", "idx"), "idx")
+    count = placed.count()
+    right = cases.select("row_id", F.explode(F.array_distinct(filled_items("correct_model_ids"))).alias("key")).join(placed.select("key", "at"), "key")
+    each = cases.select("row_id").join(right.groupBy("row_id").agg(F.collect_list("at").alias("taken")), "row_id", "left")
+    sent = placed.sparkSession.sparkContext.broadcast(np.sort(rows.select("idx").toPandas()["idx"].to_numpy(np.int64))) if count <= most_sent else None
+
+    def run(batches):
+        for pdf in batches:
+            drawn = drawn_places(pdf["row_id"].to_numpy(), [() if x is None else x for x in pdf["taken"]], count, n)
+            yield pd.DataFrame({"row_id": pdf["row_id"], "negatives": [sent.value[x] for x in drawn] if sent else drawn})
+
+    out = each.mapInPandas(run, "row_id bigint, negatives array<bigint>")
+    if sent:
+        return out
+    found = out.select("row_id", F.posexplode("negatives").alias("t", "at")).join(placed.select("at", "idx"), "at").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("t", "idx"))).alias("x"))
+    return cases.select("row_id").join(found, "row_id", "left").select("row_id", F.coalesce(F.transform("x", lambda x: x["idx"]), F.array().cast("array<bigint>")).alias("negatives"))

@@ -59,6 +59,7 @@ QUERIES = {
     "source_split": lambda s, d: R.source_split(table(s, d, "equations")),
     "split_case_counts": _split_counts,
     "negative_samples": lambda s, d: R.sampled_negatives(_cases(s, d), R.indexed(table(s, d, "equations"))),
+    "training_negatives": lambda s, d: R.negatives(table(s, d, "training_cases"), R.indexed(table(s, d, "equations"))),
 }
 
 _M = S.items("correct_model_ids")
@@ -102,6 +103,13 @@ ids as (select row_id, p, split_part(x[p], '__', 1) source from each where conta
 modal as (select row_id, source from (select row_id, source, count(*) n, min(p) f from ids group by 1, 2) qualify row_number() over (partition by row_id order by n desc, f) = 1),
 of_case as (select row_id, coalesce(source, 'unknown') source from training_cases left join modal using (row_id))"""
 
+def _mix64(z: str) -> str:
+    wrap = "& 18446744073709551615::uhugeint"
+    for shift, factor in zip((30, 27), R.MIX):
+        z = f"((xor({z}, {z} >> {shift}) * {factor}::uhugeint) {wrap})"
+    return f"xor({z}, {z} >> 31)"
+
+
 SQL = {
     "vocab_cap_topk": _TEXT + "select term, tf, round(idf, 6) idf from vocab",
     "tfidf_weights": _TEXT + "select id idx, term, round(w, 6) w from weights",
@@ -121,4 +129,10 @@ SQL = {
 draws as (select row_id, t, ('0x' || substr(md5('42|' || row_id || '|' || t), 1, 12))::bigint % (select count(*) from cand) at_ from cases, (select unnest(range(1, 21)) t)),
 kept as (select row_id, t, idx from draws join placed using (at_) anti join positive using (row_id, idx))
 select row_id, row_number() over (partition by row_id order by t) place, idx from kept qualify place <= 5""",
+    "training_negatives": _BASE.replace(f" where row_id % {R.EVERY} = 0", "")
+    + f"""placed as (select idx, row_number() over (order by idx) - 1 at_ from cand),
+starts as (select row_id, {_mix64('row_id::uhugeint')} z from cases),
+draws as (select row_id, t, ({_mix64('y')} % (select count(*) from cand)::uhugeint)::bigint at_ from (select row_id, t, (z + t::uhugeint * {R.GAMMA}::uhugeint) & 18446744073709551615::uhugeint y from starts, (select unnest(range(1, {3 * R.NEGATIVES})) t))),
+kept as (select row_id, t, idx from draws join placed using (at_) anti join positive using (row_id, idx) qualify row_number() over (partition by row_id order by t) <= {R.NEGATIVES})
+select row_id, list(idx order by t) negatives from kept group by 1""",
 }

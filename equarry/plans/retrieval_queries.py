@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from equarry.functions.text import TERM
 from equarry.operators import retrieval as R
 from equarry.operators.cases import modal_source
+from equarry.operators.svd import TfIdfSvd
 from equarry.plans import sqltext as S
 from equarry.sources.tables import table
 
@@ -30,6 +31,10 @@ def _symbol_ranks(s, d):
     return R.best_ranks(scores, R.positives(cases, index.rows), index.rows)
 
 
+def _svd_ranks(s, d):
+    return TfIdfSvd(table(s, d, "equations")).best_ranks(_cases(s, d))
+
+
 def _by_variant(s, d):
     return R.metrics(_mixed_ranks(s, d).join(_cases(s, d).select("row_id", F.coalesce("variant_type", F.lit("unknown")).alias("variant_type")), "row_id"), "variant_type")
 
@@ -59,6 +64,8 @@ QUERIES = {
     "source_split": lambda s, d: R.source_split(table(s, d, "equations")),
     "split_case_counts": _split_counts,
     "negative_samples": lambda s, d: R.sampled_negatives(_cases(s, d), R.indexed(table(s, d, "equations"))),
+    "svd_cosine": _svd_ranks,
+    "retrieval_metrics_svd": lambda s, d: R.metrics(_svd_ranks(s, d)),
     "training_negatives": lambda s, d: R.negatives(table(s, d, "training_cases"), R.indexed(table(s, d, "equations"))),
 }
 

@@ -177,6 +177,17 @@ class TfIdfSvd:
             _remove(sums.sparkSession, files[0].rpartition("/")[0])
         return out
 
+    def vectors(self, texts: DataFrame) -> DataFrame:
+        """(node, x): texts(id, text) in the space of the singular vectors, of length 1; 0 for a text without a known term."""
+        sent, idf, head = self.sc.broadcast(self.basis), self.idf, self.head
+
+        def run(batches):
+            for pdf in batches:
+                for part, x in blocks(pdf, idf, head):
+                    yield pd.DataFrame({"node": part["id"], "x": list(unit(x.times(sent.value)))})
+
+        return self.counted(texts).mapInPandas(run, "node bigint, x array<float>")
+
     def best_ranks(self, cases: DataFrame) -> DataFrame:
         """(row_id, best_rank): the place of a case's best positive among all candidates by cosine, rounded, equal ones by idx.
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from equarry.operators import graph as G
 from equarry.operators import learning as L
 from equarry.operators import vectors as V
+from equarry.operators.corpus import equation_text
+from equarry.operators.svd import TfIdfSvd
+from equarry.session import materialize
 from equarry.sources.tables import table
 
 
@@ -25,6 +28,12 @@ def _propagated(s, d):
     return G.propagate(G.arcs_between(_eq(s, d), nodes), nodes)
 
 
+def _propagated_all(s, d):
+    """Every equation's singular vector of its TF-IDF weights, one step over the whole graph."""
+    texts = _eq(s, d).select(F.col("row_id").alias("id"), equation_text().alias("text"))
+    return G.propagate_all(_eq(s, d), materialize(TfIdfSvd(_eq(s, d)).vectors(texts), "nodevectors"))
+
+
 def _svd(s, d):
     """Cosine of neighbouring vectors in the space of the eight largest singular values."""
     rows = _nodes(s, d)
@@ -62,6 +71,7 @@ QUERIES = {
     "symbol_class_links": lambda s, d: G.class_links(G.symbol_classes(_eq(s, d))[1]).where("a < b").select("a", "b"),
     "bipartite_var_features": lambda s, d: G.symbol_features(G.incidence(_eq(s, d)), _nodes(s, d)),
     "gcn_propagate": _propagated,
+    "gcn_propagate_all": _propagated_all,
     "embedding_cosine_topk": lambda s, d: V.cosine_top(table(s, d, "embeddings")),
     "svd_project": _svd,
     "pca_2d": lambda s, d: V.principal_components(_nodes(s, d)),

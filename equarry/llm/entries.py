@@ -24,8 +24,7 @@ QUALIFIERS = {
 LINKING = {"of", "the"}
 #: Letters kept of a shortened word that ends with a point.
 SHORT = (3, 4, 5)
-#: A reference list's forms are cut into shards of so many; each value visits all shards and the nearest entry wins.
-SHARD = 20_000
+#: A longer reference list is cut into shards; each value visits all shards and the nearest entry wins.
 MOST_ENTRIES = 200_000
 
 
@@ -198,7 +197,7 @@ class Matcher:
         return [x for x in dict.fromkeys(out) if x]
 
     def best(self, value: str) -> tuple[int, int]:
-        """(cost, entry) of the nearest entry, (99, 0) where none is near enough or two are equally near."""
+        """(cost, entry) of the nearest entry, (99, 0) where none is near enough; of equally near ones the cost and 0."""
         readings = self.readings(split_words(value))
         kinds = ((self.tree, self.forms, self.letters), (self.short_tree, self.short, self.short_letters))[: 2 if "." in value else 1]
         for text in readings:
@@ -222,9 +221,9 @@ class Matcher:
             if found:
                 break
         order = sorted((c, k) for k, c in found.items())
-        if not order or len(order) > 1 and order[0][0] == order[1][0]:
+        if not order:
             return 99, 0
-        return order[0]
+        return (order[0][0], 0) if len(order) > 1 and order[0][0] == order[1][0] else order[0]
 
 
 def allowed(n: int) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from equarry.functions.text import terms
 from equarry.operators.corpus import case_text, equation_text
 from equarry.operators.retrieval import DIGITS, VOCABULARY, indexed, positives
-from equarry.session import _remove, materialize
+from equarry.session import drop_table, materialize
 
 DIMS, OVERSAMPLED, ROUNDS, SEED = 256, 10, 5, 42
 #: The most frequent terms are multiplied as a dense matrix; rows multiplied at once; terms in a row of partial sums.
@@ -173,8 +173,7 @@ class TfIdfSvd:
             v = np.frombuffer(r["v"], np.float32).reshape(-1, m.shape[1])
             out[r["at"] : r["at"] + len(v)] += v
         sent.destroy()
-        if files := sums.inputFiles():
-            _remove(sums.sparkSession, files[0].rpartition("/")[0])
+        drop_table(sums)
         return out
 
     def vectors(self, texts: DataFrame) -> DataFrame:

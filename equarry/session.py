@@ -29,12 +29,27 @@ def build_session(app: str = "equarry", master: str | None = None, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster's session that names no folder all machines share."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Only a session on one machine (local or local-cluster) may lack both and gets a temporary one; any other is refused, as
+    executors would write to disks of their own and the driver would read rows that are missing.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="equarry-")
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
+        sc = spark.sparkContext
+        set_by_context = sc._jsc.sc().getCheckpointDir()
+        if set_by_context.isDefined():
+            folder = set_by_context.get()
+        elif sc.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="equarry-")
+            atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
+        else:
+            raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all machines of {sc.master} share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -48,11 +63,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/equarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove_path, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def drop_table(df: DataFrame) -> None:
+    """Remove a table of materialize() that nothing will read again."""
+    if files := df.inputFiles():
+        remove_path(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -16,6 +16,10 @@ SIMILARITY = 0.7
 #: Positions of a signature, a byte each: BLOCKS runs of ROWS bytes. Pairs below LEAST shared runs are dropped unverified.
 ROWS, BLOCKS, LEAST = 7, 112, 2
 SEED = 20240229
+#: Rows of a class that meet those of another at once.
+BLOCK = 2_000
+#: Words hashed at once, so that they stay in the processor's cache.
+CELLS = 1 << 16
 
 
 def chance_missed(similarity: float, rows: int = ROWS, blocks: int = BLOCKS, least: int = LEAST) -> float:
@@ -32,37 +36,48 @@ def word_sets(equations: DataFrame) -> DataFrame:
     return equations.where(filled("context_text").isNotNull()).select("row_id", F.array_sort(F.array_distinct(words(text))).alias("words"))
 
 
-def _keys(batches):
-    """Each set's signature as runs: byte p of a signature is the low byte of the least value of hash p over the set's words."""
+def signatures(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of each set's signature as numbers, sets x BLOCKS. Byte p is the mixed high byte of the least value of hash p over
+    the set's words. Sets are taken in order of size, CELLS words at once, a column each, filled up with a word of their own."""
     rng = np.random.default_rng(SEED)
-    mult = rng.integers(1, 1 << 63, ROWS * BLOCKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, ROWS * BLOCKS, dtype=np.uint64)
+    mult = rng.integers(0, 1 << 31, ROWS * BLOCKS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    turn = rng.integers(0, 1 << 32, ROWS * BLOCKS, dtype=np.uint32)
+    words = (hashes >> np.uint64(32)).astype(np.uint32)
+    keys, order, at = np.zeros((len(starts), BLOCKS), np.uint64), np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        some = order[at : at + max(1, CELLS // int(sizes[order[at]]))]
+        some = some[: max(1, int(np.searchsorted(np.arange(1, len(some) + 1) * sizes[some], CELLS, "right")))]
+        place = np.arange(sizes[some[-1]])[:, None]
+        block = words[starts[some] + np.where(place < sizes[some], place, 0)]
+        value, least = np.empty_like(block), np.zeros((ROWS * BLOCKS, len(some)), np.uint32)
+        for p in range(ROWS * BLOCKS):
+            np.multiply(block ^ turn[p], mult[p], out=value)
+            np.min(value, axis=0, out=least[p])
+        least = (least * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint64).reshape(BLOCKS, ROWS, -1)
+        run = np.zeros((BLOCKS, len(some)), np.uint64)
+        for r in range(ROWS):
+            run = run << np.uint64(8) | least[:, r]
+        keys[some], at = run.T, at + len(some)
+    return keys | np.arange(BLOCKS, dtype=np.uint64)[None, :] << np.uint64(56)
+
+
+def _keys(batches):
     for batch in batches:
-        lists = batch.column(1)
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        offsets = np.asarray(lists.offsets)
         if not len(batch):
             continue
-        values = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64)
-        starts = (offsets - offsets[0])[:-1]
-        keys = np.zeros((len(starts), BLOCKS), np.uint64)
-        for p in range(ROWS * BLOCKS):
-            least = np.minimum.reduceat((values * mult[p] + add[p]) >> np.uint64(20), starts)
-            block = p // ROWS
-            keys[:, block] = keys[:, block] << np.uint64(8) | (least & np.uint64(255))
-        keys |= np.arange(BLOCKS, dtype=np.uint64)[None, :] << np.uint64(56)
-        n = len(starts)
+        offsets = np.asarray(batch.column(1).offsets)
+        hashes = np.asarray(batch.column(1).values)[offsets[0] : offsets[-1]].view(np.uint64)
+        keys = signatures(hashes, (offsets - offsets[0])[:-1], np.diff(offsets))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BLOCKS)), pa.array(keys.reshape(-1).view(np.int64), pa.int64())], ["rep", "key"])
-        del keys, n
 
 
 def class_of_rows(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with equal sets of words form a class: (row_id, rep, n) for each row, and (rep, words) for each class."""
-    sets = sets.withColumn("print", F.md5(F.array_join("words", " ")))
+    sets = materialize(sets.withColumn("print", F.md5(F.array_join("words", " "))), "sets")  # read twice below
     classes = sets.groupBy("print").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by("words", "row_id").alias("words"))
     classes = materialize(classes, "classes")
     rows = salted_lookup(sets.select("row_id", "print"), classes.select("print", "rep", F.col("n").alias("size"), "n"), ["print"], "n", "row_id")
-    return materialize(rows.select("row_id", "rep", F.col("size").alias("n")), "rows"), classes.select("rep", "words")
+    return materialize(rows.select("row_id", "rep", F.col("size").alias("n")), "rows"), classes.select("rep", "words", "n")
 
 
 def similar_classes(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -70,12 +85,13 @@ def similar_classes(reps: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Index: runs of ROWS bytes of each signature with their position, since the list of a single (position, byte) would
     hold a 256th of all rows. Shared runs are tallied per pair; a pair of similarity s shares BLOCKS * s**ROWS of them on
-    average, and chance_missed(s) is the chance that it shares fewer than LEAST: 0.0008 at 0.70, 0.00003 at 0.73, below
+    average, and chance_missed(s) is the chance that it shares fewer than LEAST: 0.0007 at 0.70, 0.00003 at 0.73, below
     a millionth from 0.76. Pairs with LEAST or more are verified on their words. Sets without a word have no keys.
     """
     hashed = reps.where(F.size("words") > 0).select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     index = hashed.mapInArrow(_keys, "rep bigint, key bigint")
-    met = index.select(F.col("rep").alias("a"), "key").join(index.select(F.col("rep").alias("b"), "key"), "key").where("a < b")
+    # the planner takes the index to be as small as the sets, so it is told to shuffle both sides; a hot key's rows are then cut by AQE
+    met = index.select(F.col("rep").alias("a"), "key").hint("merge").join(index.select(F.col("rep").alias("b"), "key").hint("merge"), "key").where("a < b")
     tally = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST)
     pairs = materialize(tally, "candidates")
     both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
@@ -85,15 +101,24 @@ def similar_classes(reps: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return both.where(common * 1000 >= of_either * round(similarity * 1000)).select("a", "b", F.round(common / of_either, 6).alias("similarity"))
 
 
+def rows_of_links(rows: DataFrame, classes: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(row_id_a, row_id_b): every row of a link's one class with every row of the other. A class is cut into blocks of about block
+    rows by a hash, and a link is repeated for each pair of blocks, so that no task holds a large class."""
+    cut = classes.select("rep", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    one = lambda side: cut.select(F.col("rep").alias(side), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"{side}_block"))
+    ends = rows.select("rep", "row_id", F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / block)).cast("int").alias("part"))
+    row = lambda side, name: ends.select(F.col("rep").alias(side), F.col("part").alias(f"{side}_block"), F.col("row_id").alias(name))
+    met = links.select("a", "b").join(one("a"), "a").join(one("b"), "b")
+    pairs = met.join(row("a", "x"), ["a", "a_block"]).join(row("b", "y"), ["b", "b_block"])
+    return pairs.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
+
+
 def near_duplicate_rows(equations: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b): all pairs of rows with non-blank context_text at SIMILARITY or more, rows with equal words included."""
     rows, reps = class_of_rows(word_sets(equations))
     links = materialize(similar_classes(reps).select("a", "b"), "links")
     equal = salted_pairs(rows.where("n > 1"), "rep", "row_id", "n", []).select("row_id_a", "row_id_b")
-    ends = rows.select("rep", "row_id", "n")
-    left = links.join(ends.select(F.col("rep").alias("a"), F.col("row_id").alias("x")), "a")
-    across = left.join(ends.select(F.col("rep").alias("b"), F.col("row_id").alias("y")), "b").select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
-    return equal.unionByName(across)
+    return equal.unionByName(rows_of_links(rows, reps, links))
 
 
 def near_duplicate_groups(equations: DataFrame) -> DataFrame:

@@ -21,6 +21,14 @@ forms as (
   from training_cases),
 copies as (select row_id, min(row_id) over (partition by c, i, o) first_row_id from forms where c <> '')"""
 
+_SIMILAR = f"""
+sets as (
+  select row_id, list_distinct(regexp_extract_all(lower(coalesce(equation, '') || ' ' || context_text), '[\\p{{L}}\\p{{N}}]+')) w
+  from equations where {filled("context_text")} is not null),
+each as (select row_id, len(w) n, unnest(w) t from sets),
+shared as (select a.row_id x, b.row_id y, a.n + b.n s, count(*) c from each a join each b on a.t = b.t and a.row_id < b.row_id and 7 * greatest(a.n, b.n) <= 10 * least(a.n, b.n) group by all),
+similar_rows as (select x, y from shared where 10 * c >= 7 * (s - c))"""
+
 SQL = {
     "p1_found": f"""
 with recursive {_FILES.strip()},
@@ -29,11 +37,14 @@ reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r jo
 select min(b) group_key, a source_id from reach group by a having min(b) < a""",
     "p5_found": f"with {_COPIES.strip()} select first_row_id, row_id from copies where row_id <> first_row_id",
     "p5_records": f"with {_COPIES.strip()} select first_row_id, count(*) n_copies, max(row_id) last_row_id from copies group by 1",
-    "p2_found": f"""
-with sets as (
-  select row_id, list_distinct(regexp_extract_all(lower(coalesce(equation, '') || ' ' || context_text), '[\\p{{L}}\\p{{N}}]+')) w
-  from equations where {filled("context_text")} is not null),
-each as (select row_id, len(w) n, unnest(w) t from sets),
-shared as (select a.row_id x, b.row_id y, a.n + b.n s, count(*) c from each a join each b on a.t = b.t and a.row_id < b.row_id and 7 * greatest(a.n, b.n) <= 10 * least(a.n, b.n) group by all)
-select x row_id_a, y row_id_b from shared where 10 * c >= 7 * (s - c)""",
+    "p2_found": f"with {_SIMILAR.strip()} select x row_id_a, y row_id_b from similar_rows",
+    "p2_groups": f"""
+with recursive {_SIMILAR.strip()},
+classes as (select row_id, min(row_id) over (partition by k) class_id, count(*) over (partition by k) n_copies from (select row_id, list_sort(w) k from sets)),
+links as (select distinct a.class_id a, b.class_id b from similar_rows join classes a on a.row_id = x join classes b on b.row_id = y where a.class_id <> b.class_id),
+both_ways as (select a, b from links union select b, a from links),
+reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+groups as (select a, min(b) g from reach group by 1), degrees as (select a, count(*) n_links from both_ways group by 1)
+select row_id, class_id, n_copies, coalesce(n_links, 0) n_links, coalesce(g, class_id) group_id
+from classes left join groups on class_id = groups.a left join degrees on class_id = degrees.a""",
 }

@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+
 from equarry.llm import neardup
 
 SCHEMA = "row_id bigint, equation string, context_text string, words string, n int"
@@ -46,3 +48,39 @@ def test_texts_without_words_and_empty_table(spark):
 
 def test_chance_missed():
     assert neardup.chance_missed(0.7) < 1e-3 and neardup.chance_missed(0.77) < 1e-6
+
+
+def test_large_classes_are_cut(spark):
+    rows = spark.createDataFrame([(i, 0 if i < 25 else 25, 25 if i < 25 else 7) for i in range(32)], "row_id bigint, rep bigint, n bigint")
+    classes = spark.createDataFrame([(0, 25), (25, 7)], "rep bigint, n bigint")
+    links = spark.createDataFrame([(0, 25)], "a bigint, b bigint")
+    got = [tuple(r) for r in neardup.rows_of_links(rows, classes, links, block=3).collect()]
+    assert sorted(got) == [(a, b) for a in range(25) for b in range(25, 32)]
+
+
+def test_index_is_never_broadcast(spark):
+    df = spark.createDataFrame(sample(), SCHEMA)
+    _, reps = neardup.class_of_rows(neardup.word_sets(df))
+    plans = []
+    held = neardup.materialize
+    try:
+        neardup.materialize = lambda x, name: plans.append(x._jdf.queryExecution().toString()) or held(x, name)
+        neardup.similar_classes(reps)
+    finally:
+        neardup.materialize = held
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_signatures_share_bytes_as_the_similarity_says():
+    rng = np.random.default_rng(3)
+    pool, sets, similarity = rng.integers(0, 1 << 63, 400, dtype=np.uint64), [], []
+    for _ in range(2000):
+        union = rng.choice(400, int(rng.integers(40, 140)), replace=False)
+        common = union[: round(0.75 * len(union))]
+        half = (len(union) - len(common)) // 2
+        sets += [pool[np.r_[common, union[len(common) :][:half]]], pool[np.r_[common, union[len(common) + half :]]]]
+        similarity.append(len(common) / len(union))
+    sizes = np.array([len(x) for x in sets])
+    keys = neardup.signatures(np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+    shared = (keys[::2] == keys[1::2]).sum(1)
+    assert abs(shared.mean() / (neardup.BLOCKS * np.mean(np.array(similarity) ** neardup.ROWS)) - 1) < 0.05

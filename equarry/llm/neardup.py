@@ -33,7 +33,7 @@ def chance_missed(similarity: float, rows: int = ROWS, blocks: int = BLOCKS, lea
 def word_sets(equations: DataFrame) -> DataFrame:
     """(row_id, words): the distinct words of equation and context_text, for rows whose context_text isn't blank."""
     text = F.concat_ws(" ", F.coalesce("equation", F.lit("")), "context_text")
-    return equations.where(filled("context_text").isNotNull()).select("row_id", F.array_sort(F.array_distinct(words(text))).alias("words"))
+    return equations.where(filled("context_text").isNotNull()).select("row_id", F.sort_array(F.array_distinct(words(text))).alias("words"))
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

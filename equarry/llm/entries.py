@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -11,21 +11,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equarry.functions.text import filled
+from equarry.functions.text import filled, words
 from equarry.operators.skew import salted_lookup
 from equarry.session import materialize
 
-#: Qualifiers that may stand before or after a name without changing what it names.
-QUALIFIERS = {
-    "domain": (("notes", "intro to", "the"), ("ii", "ch 4", "related", "lab sheet")),
-    "variables": (("the", "avg", "here"), ("as measured", "in run 2", "si", "see text")),
-}
-#: Words that an inversion inserts ("rate of drying").
-LINKING = {"of", "the"}
+#: Words without a meaning of their own that an inversion inserts ("rate of drying"); a parameter.
+LINKING = ("of", "the")
 #: Letters kept of a shortened word that ends with a point.
 SHORT = (3, 4, 5)
-#: A longer reference list is cut into shards; each value visits all shards and the nearest entry wins.
-MOST_ENTRIES = 200_000
+#: A list with more forms than FORMS is cut into shards by entry; VALUES values at once visit a shard.
+FORMS, VALUES = 20_000, 20_000
+#: No reading is matched at a larger Levenshtein distance.
+MOST_EDITS = 6
+#: A qualifier is learned if it has at most WORDS words and stands next to the names of at least ENTRIES entries, in at least a
+#: PART-th of the rows of the most frequent one and a LEAST-th of all rows with a name and something beside it.
+WORDS, ENTRIES, PART, LEAST = 4, 3, 4, 1000
 
 
 def split_words(s: str) -> list[str]:
@@ -121,55 +121,106 @@ def shortened(words: list[str]):
             yield [w[:n] if i in some and len(w) > n + 1 else w for i, w in enumerate(words)]
 
 
-def letters(s: str) -> list[int]:
-    """How often each letter occurs, all digits as one and all else as one."""
-    out = [0] * 28
-    for ch in s:
-        out[ord(ch) - 97 if "a" <= ch <= "z" else 26 if ch.isdigit() else 27] += 1
-    return out
+def name_forms(name_words: list[str], linking=LINKING) -> tuple[set[str], set[str]]:
+    """The strings a name may be typed as: its words in each rotation, with and without linking words; and those with shortened words."""
+    bare = [w for w in name_words if w not in linking] or name_words
+    whole = {"".join(order) for order in [*turns(name_words), *turns(bare)]}
+    return whole, {"".join(order) for cut in shortened(bare) for order in turns(cut)} - whole
 
 
-class Letters:
-    """Tells which strings may be near: an edit changes one letter of a string's letters at most, an exchange none."""
-
-    def __init__(self, strings):
-        strings = list(strings)
-        self.counts = np.array([letters(s) for s in strings], np.int16).reshape(-1, 28)
-        self.limits = np.array([allowed(len(s)) for s in strings], np.int16)
-
-    def least(self, query: str) -> int | None:
-        """A lower bound of the distance to the nearest string that is near enough; None if there is none."""
-        more = self.counts - np.array(letters(query), np.int16)
-        bound = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-        near = bound[bound <= self.limits]
-        return int(near.min()) if len(near) else None
+class Forest:
+    """BK-trees as arrays, searched for many strings at once: a level of the tree is a step for all of them.
 
+    Distances are Levenshtein's, a true metric, so a subtree at distance k from its root can hold a string within radius r of
+    a query at distance d from that root only if |d - k| <= r. Queries are the patterns of bit-parallel comparisons, a bit for
+    each character, up to 64; longer ones are searched one by one.
+    """
 
-@dataclass
-class Matcher:
-    """One reference list (or a shard of it) ready for search; entries are (id, name)."""
-
-    entries: list[tuple[int, str]]
-    before: tuple[str, ...] = ()
-    after: tuple[str, ...] = ()
-    forms: dict[str, set[int]] = field(default_factory=dict)
-    short: dict[str, set[int]] = field(default_factory=dict)
-
-    def __post_init__(self):
-        for key, name in self.entries:
-            words = split_words(name)
-            bare = [w for w in words if w not in LINKING] or words
-            for order in [*turns(words), *turns(bare)]:
-                self.forms.setdefault("".join(order), set()).add(key)
-            for cut in shortened(bare):
-                for order in turns(cut):
-                    self.short.setdefault("".join(order), set()).add(key)
-        self.noise = {w for q in self.before + self.after for w in split_words(q)} | LINKING
+    def __init__(self, strings):
+        self.strings = sorted(set(strings))
+        self.tree = BKTree(self.strings)
+        index, below, queue = {x: i for i, x in enumerate(self.strings)}, [[] for _ in self.strings], [self.tree.root] if self.strings else []
+        while queue:
+            name, children = queue.pop()
+            below[index[name]] = [(k, index[x[0]]) for k, x in children.items()]
+            queue += children.values()
+        self.root = index[self.tree.root[0]] if self.strings else -1
+        self.count = np.array([len(x) for x in below], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.edge, self.child = (np.array([e[i] for x in below for e in x], np.int64) for i in (0, 1))
+        self.size = np.array([len(x) for x in self.strings], np.int64)
+        letters = {c: i + 1 for i, c in enumerate(sorted(set("".join(self.strings))))}
+        self.letters = letters  # 0 stands for any other
+        self.codes = np.zeros((len(self.strings), int(self.size.max(initial=0))), np.int16)
+        for i, x in enumerate(self.strings):
+            self.codes[i, : len(x)] = [letters[c] for c in x]
+
+    def _masks(self, queries: list[str]) -> np.ndarray:
+        masks = np.zeros((len(queries), len(self.letters) + 1), np.uint64)
+        for i, q in enumerate(queries):
+            for j, c in enumerate(q):
+                if k := self.letters.get(c):
+                    masks[i, k] |= np.uint64(1 << j)
+        return masks
+
+    def _distances(self, masks: np.ndarray, n: np.ndarray, query: np.ndarray, node: np.ndarray, exchanges: bool = False) -> np.ndarray:
+        """Distances of pairs of a query and a node; with exchanges, two neighbours exchanged count as one edit."""
+        one, score = np.uint64(1), n[query].copy()
+        up, down = np.full(len(query), ~np.uint64(0)), np.zeros(len(query), np.uint64)
+        before_eq, before_diag = np.zeros(len(query), np.uint64), np.zeros(len(query), np.uint64)
+        top, size = (n[query] - 1).astype(np.uint64), self.size[node]
+        for j in range(int(size.max(initial=0))):
+            eq = masks[query, self.codes[node, j]]
+            diag = (((eq & up) + up) ^ up) | eq | down
+            if exchanges:
+                diag |= ((~before_diag & eq) << one) & before_eq
+                before_eq, before_diag = eq, diag
+            rise, fall = down | ~(diag | up), up & diag
+            score += np.where(j < size, (rise >> top & one).astype(np.int64) - (fall >> top & one).astype(np.int64), 0)
+            rise, fall = rise << one | one, fall << one
+            up, down = fall | ~(diag | rise), rise & diag
+        return score
+
+    def search(self, queries: list[str], radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, string, cost) as numbers for all strings within each query's radius; the cost counts exchanges as one edit."""
+        short = np.array([i for i, q in enumerate(queries) if 0 < len(q) <= 64], np.int64)
+        found = [[], [], []]
+        if len(short) and self.strings:
+            some, radius_of = [queries[i] for i in short], np.asarray(radius)[short]
+            masks, n = self._masks(some), np.array([len(q) for q in some], np.int64)
+            query, node = np.arange(len(some)), np.full(len(some), self.root)
+            while len(query):
+                d = self._distances(masks, n, query, node)
+                r = radius_of[query]
+                hit = np.flatnonzero(d <= r)
+                if len(hit):
+                    found[0].append(short[query[hit]])
+                    found[1].append(node[hit])
+                    found[2].append(self._distances(masks, n, query[hit], node[hit], True))
+                k = self.count[node]
+                at = np.repeat(self.first[node] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                near = np.abs(self.edge[at] - np.repeat(d, k)) <= np.repeat(r, k)
+                query, node = np.repeat(query, k)[near], self.child[at[near]]
+        index = None
+        for i in set(range(len(queries))) - set(short.tolist()):
+            if queries[i] and len(queries[i]) <= self.codes.shape[1] + radius[i]:
+                index = index or {x: k for k, x in enumerate(self.strings)}
+                for _, x in self.tree.search(queries[i], int(radius[i])):
+                    found[0].append([i])
+                    found[1].append([index[x]])
+                    found[2].append([typing_distance(queries[i], x)])
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in found)
+
+
+class Readings:
+    """What a value may say, given the qualifiers that may stand before and after a name."""
+
+    def __init__(self, before: tuple[str, ...], after: tuple[str, ...], linking: tuple[str, ...]):
+        self.linking = set(linking)
+        self.noise = {w for q in before + after for w in split_words(q)} | self.linking
         self.noise |= {w[:n] for w in self.noise for n in SHORT[1:] if len(w) > n + 1}
         self.noisy: dict[str, bool] = {}
-        self.ends = [(q.replace(" ", ""), True) for q in self.before] + [(q.replace(" ", ""), False) for q in self.after]
-        self.tree, self.short_tree = BKTree(self.forms), BKTree(self.short)
-        self.letters, self.short_letters = Letters(self.forms), Letters(self.short)
+        self.ends = [("".join(split_words(q)), True) for q in before] + [("".join(split_words(q)), False) for q in after]
 
     def _noisy(self, w: str) -> bool:
         if w not in self.noisy:
@@ -187,43 +238,61 @@ class Matcher:
                         if part == q or len(q) > 2 and part[0] == q[0] and distance(part, q) <= 1:
                             yield (text[n:] if front else text[:-n]), front
 
-    def readings(self, words: list[str]) -> list[str]:
-        """What a value may say once qualifiers and linking words are taken away, without spaces: as typed, by word, by its ends."""
-        out = ["".join(words), "".join(w for w in words if not self._noisy(w)), "".join(w for w in words if w not in LINKING)]
+    def of(self, words: list[str]) -> list[str]:
+        """Without spaces: as typed, without noisy words, without linking words, and each without a qualifier at either end."""
+        out = ["".join(words), "".join(w for w in words if not self._noisy(w)), "".join(w for w in words if w not in self.linking)]
         for text in list(dict.fromkeys(out)):
             for rest, front in self._without_ends(text):
                 out.append(rest)
                 out += [x for x, _ in self._without_ends(rest, (not front,))]
         return [x for x in dict.fromkeys(out) if x]
 
-    def best(self, value: str) -> tuple[int, int]:
-        """(cost, entry) of the nearest entry, (99, 0) where none is near enough; of equally near ones the cost and 0."""
-        readings = self.readings(split_words(value))
-        kinds = ((self.tree, self.forms, self.letters), (self.short_tree, self.short, self.short_letters))[: 2 if "." in value else 1]
-        for text in readings:
-            for _, known, _ in kinds:
-                if len(hit := known.get(text, ())) == 1:
-                    return 0, next(iter(hit))
-        found: dict[int, int] = {}
-        likely = [(least, text, tree, known) for text in readings for tree, known, bags in kinds if (least := bags.least(text)) is not None]
-        for near, far in ((0, 1), (2, 2), (3, 6)):
-            for least, text, tree, known in likely:
-                radius = min(far, max(1, len(text) * 2 // 5))
-                if radius < max(near, least):
-                    continue
-                for _, s in tree.search(text, radius):
-                    cost = typing_distance(text, s)
-                    if cost <= allowed(len(s)):
-                        for key in known[s]:
-                            found[key] = min(cost, found.get(key, 99))
-                if found and min(found.values()) <= 1:
-                    break
-            if found:
-                break
-        order = sorted((c, k) for k, c in found.items())
-        if not order:
-            return 99, 0
-        return (order[0][0], 0) if len(order) > 1 and order[0][0] == order[1][0] else order[0]
+
+class Matcher:
+    """One shard of a reference list, given as (entry, form, whether shortened), ready for search."""
+
+    def __init__(self, forms: tuple[tuple[int, str, bool], ...], readings: Readings):
+        self.readings = readings
+        self.known: tuple[dict[str, list[int]], ...] = ({}, {})
+        for key, form, short in forms:
+            self.known[short].setdefault(form, []).append(key)
+        self.forests = tuple(Forest(x) for x in self.known)
+
+    def best(self, values: list[str]) -> list[tuple[int, int, int, int]]:
+        """(value's number, cost, reading's number, entry) for the entries at each value's least cost; of more than two entries of
+        a reading the least and the largest. A value is its words and, where it holds a point, a point at the end.
+
+        Radii grow: all forms at cost 1 are within Levenshtein's distance 2, all at cost 2 within 4, and the rest within MOST_EDITS.
+        """
+        said = [(self.readings.of(v.removesuffix(" .").split()), v.endswith(" .")) for v in values]
+        least: dict[int, int] = {}
+        rows: dict[tuple[int, int, int], set[int]] = {}
+        for kind in (0, 1):
+            for i, (texts, point) in enumerate(said):
+                for rank, text in enumerate(texts if point or not kind else ()):
+                    for key in self.known[kind].get(text, ()):
+                        rows.setdefault((i, 0, rank), set()).add(key)
+                        least[i] = 0
+        for cost, radius in ((1, 2), (2, 4), (4, MOST_EDITS)):
+            left = [i for i in range(len(said)) if least.get(i, 99) > cost]
+            for kind in (0, 1):
+                asked: dict[str, list[tuple[int, int]]] = {}
+                for i in left:
+                    for rank, text in enumerate(said[i][0] if said[i][1] or not kind else ()):
+                        asked.setdefault(text, []).append((i, rank))
+                texts, forest = list(asked), self.forests[kind]
+                for q, s, d in zip(*(x.tolist() for x in forest.search(texts, np.array([min(radius, max(1, len(t) * 2 // 5)) for t in texts], np.int64)))):
+                    if d <= allowed(len(forest.strings[s])):
+                        for i, rank in asked[texts[q]]:
+                            rows.setdefault((i, d, rank), set()).update(self.known[kind][forest.strings[s]])
+                            least[i] = min(d, least.get(i, 99))
+        return [(i, d, rank, key) for (i, d, rank), keys in rows.items() if d == least[i] for key in {min(keys), max(keys)}]
+
+
+@lru_cache(4)
+def _matcher(forms, before, after, linking) -> Matcher:
+    """A worker keeps the trees of its last shards."""
+    return Matcher(forms, Readings(before, after, linking))
 
 
 def allowed(n: int) -> int:
@@ -238,42 +307,90 @@ def typed_values(equations: DataFrame) -> DataFrame:
     return domain.unionByName(variables).where(filled("value").isNotNull())
 
 
-def nearest_entries(values: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
-    """(field, value, cost, entry_id) for distinct values(field, value); lists holds (id, name) for each field; 0 stands for no entry.
+def list_forms(lists: dict[str, DataFrame], linking=LINKING) -> DataFrame:
+    """(field, id, form, short): the forms of the names of lists, (id, name) for each field; null names have none."""
+    named = None
+    for field, entries in lists.items():
+        part = entries.where("name is not null").select(F.lit(field).alias("field"), F.col("id").cast("int").alias("id"), words(F.col("name")).alias("w"))
+        named = part if named is None else named.unionByName(part)
 
-    A value is read as typed, without qualifiers and without linking words, white space and punctuation. Each reading is
-    looked up among the forms of the names (all rotations of the words, and shortened words where the value has a point)
-    and else searched in a BK-tree of the forms under Levenshtein's distance; what lies within the radius is ranked by a
-    distance that counts exchanged neighbours as one edit. Two entries equally near count as none. Trees hold at most
-    MOST_ENTRIES entries; a longer list is cut into shards by a hash, each value visits all, and the nearest winner stays.
-    """
-    out = None
-    for name, entries in lists.items():
-        mine = values.where(F.col("field") == name)
-        shards = max(1, -(-entries.count() // MOST_ENTRIES))
-        for shard in range(shards):
-            part = [tuple(r) for r in entries.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard).collect()]
-            found = mine.mapInPandas(_finder(part, name), "field string, value string, cost int, entry_id int")
-            out = found if out is None else out.unionByName(found)
-    if any(e.count() > MOST_ENTRIES for e in lists.values()):
-        best = out.groupBy("field", "value").agg(F.min(F.struct("cost", "entry_id")).alias("b"), F.min("cost").alias("cost"))
-        tied = out.join(best.select("field", "value", "cost"), ["field", "value", "cost"]).groupBy("field", "value").agg(F.countDistinct("entry_id").alias("k"))
-        out = best.join(tied, ["field", "value"]).select("field", "value", "cost", F.when(F.col("k") > 1, 0).otherwise(F.col("b.entry_id")).alias("entry_id"))
-    return out
-
-
-def _finder(entries: list[tuple[int, str]], name: str):
     def run(batches):
-        matcher = None
         for pdf in batches:
-            matcher = matcher or Matcher(entries, *QUALIFIERS.get(name, ((), ())))
-            hits = [matcher.best(v) for v in pdf["value"]]
-            yield pd.DataFrame({"field": pdf["field"], "value": pdf["value"], "cost": pd.Series([c for c, _ in hits], dtype="int32"), "entry_id": pd.Series([e for _, e in hits], dtype="int32")})
-
-    return run
+            out = []
+            for field, key, w in zip(pdf["field"], pdf["id"], pdf["w"]):
+                for short, forms in enumerate(name_forms(list(w), linking)):
+                    out += [(field, key, x, bool(short)) for x in forms if x]
+            yield pd.DataFrame(out, columns=["field", "id", "form", "short"])
+
+    return materialize(named.mapInPandas(run, "field string, id int, form string, short boolean"), "forms")
+
+
+def learned_qualifiers(keys: DataFrame, forms: DataFrame) -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
+    """For each field the words that stand before and after names without changing what they name, from keys(field, w, n) and all
+    their rows. A value is split at each place with at most WORDS words on one side; where the other side is a form of a name,
+    the words beside it count. What stands next to ENTRIES different entries and is frequent (PART, LEAST) is a qualifier;
+    LEAST bounds their number. Nothing is learned from a few values."""
+    size = F.size("w")
+    places = F.array_distinct(F.concat(F.sequence(F.lit(1), F.least(size - 1, F.lit(WORDS))), F.sequence(F.greatest(F.lit(1), size - WORDS), size - 1)))
+    cut = keys.where(size > 1).select("field", "w", "n", F.explode(places).alias("i"))
+    left, right = F.slice("w", F.lit(1), F.col("i")), F.slice("w", F.col("i") + 1, F.size("w"))
+    split = cut.select("field", "n", F.explode(F.array(*[F.struct(F.lit(b).alias("before"), F.when(F.size(x) <= WORDS, F.array_join(x, " ")).alias("fragment"), F.array_join(y, "").alias("form")) for b, x, y in ((True, left, right), (False, right, left))])).alias("x")).select("field", "n", "x.*").where("fragment is not null")
+    beside = split.join(forms.where("not short").select("field", "form", "id"), ["field", "form"]).groupBy("field", "before", "fragment").agg(F.sum("n").alias("n"), F.countDistinct("id").alias("entries"))
+    beside = materialize(beside, "beside")
+    field = beside.groupBy("field").agg(F.max(F.when(F.col("entries") >= ENTRIES, F.col("n"))).alias("most"), F.sum("n").alias("total"))
+    kept = beside.join(F.broadcast(field), "field").where((F.col("entries") >= ENTRIES) & (F.col("n") * PART >= F.col("most")) & (F.col("n") * LEAST >= F.col("total")))
+    out: dict = {}
+    for r in kept.select("field", "before", "fragment").orderBy("fragment").collect():
+        out.setdefault(r["field"], ([], []))[0 if r["before"] else 1].append(r["fragment"])
+    return {k: (tuple(a), tuple(b)) for k, (a, b) in out.items()}
+
+
+def nearest_entries(values: DataFrame, lists: dict[str, DataFrame], qualifiers: dict | None = None, linking=LINKING) -> DataFrame:
+    """(field, value, cost, entry_id) for distinct values(field, value) with, if there, the number n of their rows; lists holds
+    (id, name) for each field; 0 stands for no entry and has the cost 99 where nothing is near enough.
 
-
-def mapped_values(equations: DataFrame, domains: DataFrame, quantities: DataFrame) -> DataFrame:
+    A value is read as typed, without qualifiers and without linking words, white space and punctuation. Each reading is
+    searched in BK-trees of the forms of the names (all rotations of the words, and shortened words where the value has a
+    point) under Levenshtein's distance. What lies within the radius is ranked by a distance that counts exchanged
+    neighbours as one edit. The least cost wins, and at that the first reading that stands for a single entry; entries
+    equally near for all its readings count as none. qualifiers gives (before, after) for a field, else they are learned from
+    the values. The list is cut into shards of about FORMS forms, the values into slices of about VALUES; each slice meets each
+    shard, and the shards' winners are merged, so that neither is collected and the cut doesn't change a result.
+    """
+    spark = values.sparkSession
+    n = F.col("n") if "n" in values.columns else F.lit(1)
+    typed = values.select("field", "value", words(F.col("value")).alias("w"), F.col("value").contains(".").alias("point"), n.cast("long").alias("n"))
+    typed = materialize(typed.withColumn("key", F.concat(F.array_join("w", " "), F.when(F.col("point"), " .").otherwise(""))), "typed")
+    keys = materialize(typed.groupBy("field", "key").agg(F.sum("n").alias("n")), "keys")
+    forms = list_forms(lists, linking)
+    if qualifiers is None:
+        qualifiers = learned_qualifiers(keys.select("field", F.split(F.regexp_replace("key", r" ?\.$", ""), " ").alias("w"), "n"), forms)
+    n_forms, n_keys = forms.count(), keys.count()
+    shards = max(1, -(-n_forms // FORMS))
+    slices = max(2 * spark.sparkContext.defaultParallelism, -(-n_keys // VALUES))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = forms.select("field", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "form", "short").withColumn("slice", number(slices))
+    right = keys.select("field", number(shards).alias("shard"), F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slice"), "key")
+
+    def run(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(mine) and len(asked):
+            field, texts = asked["field"].iloc[0], asked["key"].tolist()
+            matcher = _matcher(tuple(sorted(zip(mine["id"].tolist(), mine["form"], mine["short"].tolist()))), *qualifiers.get(field, ((), ())), tuple(linking))
+            out = [(field, texts[i], cost, rank, key) for i, cost, rank, key in matcher.best(texts)]
+        return pd.DataFrame(out, columns=["field", "key", "cost", "rank", "id"])
+
+    on = ["field", "shard", "slice"]
+    near = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(run, "field string, key string, cost int, rank int, id int")
+    by_rank = near.groupBy("field", "key", "cost", "rank").agg(F.min("id").alias("id"), (F.min("id") != F.max("id")).alias("tied"))
+    best = by_rank.groupBy("field", "key").agg(F.min(F.struct("cost", "tied", "rank", "id")).alias("b"))
+    best = best.select("field", "key", F.col("b.cost").alias("cost"), F.when(F.col("b.tied"), 0).otherwise(F.col("b.id")).alias("entry_id"))
+    counts = typed.groupBy("field", "key").agg(F.count(F.lit(1)).alias("m")).join(materialize(best, "best"), ["field", "key"], "left")
+    out = salted_lookup(typed.select("field", "value", "key"), counts, ["field", "key"], "m", "value")
+    return out.select("field", "value", F.coalesce("cost", F.lit(99)).alias("cost"), F.coalesce("entry_id", F.lit(0)).alias("entry_id"))
+
+
+def mapped_values(equations: DataFrame, domains: DataFrame, quantities: DataFrame, qualifiers: dict | None = None) -> DataFrame:
     """(row_id, field, symbol, value, entry_id): each non-blank value that isn't a name of its list as it stands.
 
     Only distinct values are searched; a value's rows are joined again with a frequent value dealt over many tasks.
@@ -285,6 +402,5 @@ def mapped_values(equations: DataFrame, domains: DataFrame, quantities: DataFram
         names = part if names is None else names.unionByName(part)
     values = typed_values(equations).join(names, ["field", "value"], "left_anti")
     distinct = materialize(values.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), "values")
-    spread = distinct.select("field", "value").repartition(max(8, distinct.sparkSession.sparkContext.defaultParallelism * 4), "value")
-    found = materialize(nearest_entries(spread, lists), "nearest")
+    found = materialize(nearest_entries(distinct, lists, qualifiers), "nearest")
     return salted_lookup(values, distinct.join(found, ["field", "value"]), ["field", "value"], "n", "row_id").select("row_id", "field", "symbol", "value", "entry_id")

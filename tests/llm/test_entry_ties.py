@@ -13,6 +13,6 @@ def test_tie_within_a_shard(spark, monkeypatch):
     lists = {"domain": spark.createDataFrame([(a, "Condansing"), (b, "Condonsing"), (c, "Comdensong")], "id int, name string")}
     values = spark.createDataFrame([("domain", "condensing")], "field string, value string")
     one = E.nearest_entries(values, lists).first()
-    monkeypatch.setattr(E, "MOST_ENTRIES", 2)
+    monkeypatch.setattr(E, "FORMS", 8)
     cut = E.nearest_entries(values, lists).first()
     assert one["entry_id"] == cut["entry_id"] == 0 and one["cost"] == cut["cost"] == 1

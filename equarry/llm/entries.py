@@ -23,6 +23,8 @@ SHORT = (3, 4, 5)
 FORMS, VALUES = 20_000, 20_000
 #: No reading is matched at a larger Levenshtein distance.
 MOST_EDITS = 6
+#: Costs of values that are read loosely count from here until shards are merged.
+LOOSE = 10
 #: A qualifier is learned if it has at most WORDS words and stands next to the names of at least ENTRIES entries, in at least a
 #: PART-th of the rows of the most frequent one and a LEAST-th of all rows with a name and something beside it.
 WORDS, ENTRIES, PART, LEAST = 4, 3, 4, 1000
@@ -217,6 +219,7 @@ class Readings:
 
     def __init__(self, before: tuple[str, ...], after: tuple[str, ...], linking: tuple[str, ...]):
         self.linking = set(linking)
+        self.plain = {w for q in before + after for w in split_words(q)} | self.linking
         self.noise = {w for q in before + after for w in split_words(q)} | self.linking
         self.noise |= {w[:n] for w in self.noise for n in SHORT[1:] if len(w) > n + 1}
         self.noisy: dict[str, bool] = {}
@@ -247,6 +250,17 @@ class Readings:
                 out += [x for x, _ in self._without_ends(rest, (not front,))]
         return [x for x in dict.fromkeys(out) if x]
 
+    def loosely(self, words: list[str]) -> list[str]:
+        """Without words that are exactly those of qualifiers, and without a qualifier typed with two edits, or three if it is long, at one end."""
+        out = ["".join(words), "".join(w for w in words if w not in self.plain)]
+        for text in out[:]:
+            for q, front in self.ends:
+                edits = 3 if len(q) > 8 else 2
+                for n in range(len(q) - 2, len(q) + 3) if len(q) > 4 else ():
+                    if n < len(text) - 3 and distance(text[:n] if front else text[-n:], q) <= edits:
+                        out.append(text[n:] if front else text[:-n])
+        return [x for x in dict.fromkeys(out) if x]
+
 
 class Matcher:
     """One shard of a reference list, given as (entry, form, whether shortened), ready for search."""
@@ -258,34 +272,59 @@ class Matcher:
             self.known[short].setdefault(form, []).append(key)
         self.forests = tuple(Forest(x) for x in self.known)
 
+    def _exact(self, asked: dict[str, list[tuple[int, int]]], kind: int, cost: int, rows: dict, least: dict) -> None:
+        for text, of in asked.items():
+            for key in self.known[kind].get(text, ()):
+                for i, rank in of:
+                    rows.setdefault((i, cost, rank), set()).add(key)
+                    least[i] = min(cost, least.get(i, 99))
+
+    def _near(self, asked: dict[str, list[tuple[int, int]]], kind: int, radius: int, base: int, rows: dict, least: dict) -> None:
+        texts, forest = list(asked), self.forests[kind]
+        for q, s, d in zip(*(x.tolist() for x in forest.search(texts, np.array([min(radius, max(1, len(t) * 2 // 5)) for t in texts], np.int64)))):
+            if d <= allowed(len(forest.strings[s])):
+                for i, rank in asked[texts[q]]:
+                    rows.setdefault((i, base + d, rank), set()).update(self.known[kind][forest.strings[s]])
+                    least[i] = min(base + d, least.get(i, 99))
+
     def best(self, values: list[str]) -> list[tuple[int, int, int, int]]:
         """(value's number, cost, reading's number, entry) for the entries at each value's least cost; of more than two entries of
         a reading the least and the largest. A value is its words and, where it holds a point, a point at the end.
 
         Radii grow: all forms at cost 1 are within Levenshtein's distance 2, all at cost 2 within 4, and the rest within MOST_EDITS.
+        What isn't found at cost 0 or 1 is also read loosely, and its costs count from LOOSE; a shortened form without a point
+        must be typed exactly and costs 1. Whether a reading is tried depends on costs that come before it, so shards agree.
         """
-        said = [(self.readings.of(v.removesuffix(" .").split()), v.endswith(" .")) for v in values]
+        said = [(v.removesuffix(" .").split(), v.endswith(" .")) for v in values]
+        strict = [self.readings.of(w) for w, _ in said]
         least: dict[int, int] = {}
         rows: dict[tuple[int, int, int], set[int]] = {}
-        for kind in (0, 1):
-            for i, (texts, point) in enumerate(said):
-                for rank, text in enumerate(texts if point or not kind else ()):
-                    for key in self.known[kind].get(text, ()):
-                        rows.setdefault((i, 0, rank), set()).add(key)
-                        least[i] = 0
+
+        def asked(some, readings, points=(True, False), first=0):
+            out: dict[str, list[tuple[int, int]]] = {}
+            for i in some:
+                if said[i][1] in points:
+                    for rank, text in enumerate(readings[i], first):
+                        out.setdefault(text, []).append((i, rank))
+            return out
+
+        every = range(len(said))
+        self._exact(asked(every, strict), 0, 0, rows, least)
+        self._exact(asked(every, strict, (True,)), 1, 0, rows, least)
+        left = [i for i in every if i not in least]
+        self._near(asked(left, strict), 0, 2, 0, rows, least)
+        self._near(asked(left, strict, (True,)), 1, 2, 0, rows, least)
+        left = [i for i in left if i not in least]
+        more = {i: [x for x in self.readings.loosely(said[i][0]) if x not in strict[i]] for i in left}
+        both = {i: strict[i] + more[i] for i in left}
+        self._exact(asked(left, more, first=100), 0, LOOSE, rows, least)
+        self._exact(asked(left, more, (True,), 100), 1, LOOSE, rows, least)
+        self._exact(asked(left, both, (False,)), 1, LOOSE + 1, rows, least)
         for cost, radius in ((1, 2), (2, 4), (4, MOST_EDITS)):
-            left = [i for i in range(len(said)) if least.get(i, 99) > cost]
-            for kind in (0, 1):
-                asked: dict[str, list[tuple[int, int]]] = {}
-                for i in left:
-                    for rank, text in enumerate(said[i][0] if said[i][1] or not kind else ()):
-                        asked.setdefault(text, []).append((i, rank))
-                texts, forest = list(asked), self.forests[kind]
-                for q, s, d in zip(*(x.tolist() for x in forest.search(texts, np.array([min(radius, max(1, len(t) * 2 // 5)) for t in texts], np.int64)))):
-                    if d <= allowed(len(forest.strings[s])):
-                        for i, rank in asked[texts[q]]:
-                            rows.setdefault((i, d, rank), set()).update(self.known[kind][forest.strings[s]])
-                            least[i] = min(d, least.get(i, 99))
+            left = [i for i in left if least.get(i, 99) > LOOSE + cost]
+            readings = more if cost == 1 else both
+            self._near(asked(left, readings), 0, radius, LOOSE, rows, least)
+            self._near(asked(left, readings, (True,)), 1, radius, LOOSE, rows, least)
         return [(i, d, rank, key) for (i, d, rank), keys in rows.items() if d == least[i] for key in {min(keys), max(keys)}]
 
 
@@ -352,7 +391,7 @@ def nearest_entries(values: DataFrame, lists: dict[str, DataFrame], qualifiers:
     A value is read as typed, without qualifiers and without linking words, white space and punctuation. Each reading is
     searched in BK-trees of the forms of the names (all rotations of the words, and shortened words where the value has a
     point) under Levenshtein's distance. What lies within the radius is ranked by a distance that counts exchanged
-    neighbours as one edit. The least cost wins, and at that the first reading that stands for a single entry; entries
+    neighbours as one edit; what isn't found so is read more loosely. The least cost wins, and at that the first reading that stands for a single entry; entries
     equally near for all its readings count as none. qualifiers gives (before, after) for a field, else they are learned from
     the values. The list is cut into shards of about FORMS forms, the values into slices of about VALUES; each slice meets each
     shard, and the shards' winners are merged, so that neither is collected and the cut doesn't change a result.
@@ -381,13 +420,14 @@ def nearest_entries(values: DataFrame, lists: dict[str, DataFrame], qualifiers:
         return pd.DataFrame(out, columns=["field", "key", "cost", "rank", "id"])
 
     on = ["field", "shard", "slice"]
-    near = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(run, "field string, key string, cost int, rank int, id int")
+    tasks = min(10_000, max(spark.sparkContext.defaultParallelism * 4, shards * slices * len(lists)))  # given, so that few bytes aren't gathered in few tasks
+    near = left.repartition(tasks, *on).groupBy(*on).cogroup(right.repartition(tasks, *on).groupBy(*on)).applyInPandas(run, "field string, key string, cost int, rank int, id int")
     by_rank = near.groupBy("field", "key", "cost", "rank").agg(F.min("id").alias("id"), (F.min("id") != F.max("id")).alias("tied"))
     best = by_rank.groupBy("field", "key").agg(F.min(F.struct("cost", "tied", "rank", "id")).alias("b"))
     best = best.select("field", "key", F.col("b.cost").alias("cost"), F.when(F.col("b.tied"), 0).otherwise(F.col("b.id")).alias("entry_id"))
     counts = typed.groupBy("field", "key").agg(F.count(F.lit(1)).alias("m")).join(materialize(best, "best"), ["field", "key"], "left")
     out = salted_lookup(typed.select("field", "value", "key"), counts, ["field", "key"], "m", "value")
-    return out.select("field", "value", F.coalesce("cost", F.lit(99)).alias("cost"), F.coalesce("entry_id", F.lit(0)).alias("entry_id"))
+    return out.select("field", "value", F.coalesce(F.col("cost") % LOOSE, F.lit(99)).alias("cost"), F.coalesce("entry_id", F.lit(0)).alias("entry_id"))
 
 
 def mapped_values(equations: DataFrame, domains: DataFrame, quantities: DataFrame, qualifiers: dict | None = None) -> DataFrame:

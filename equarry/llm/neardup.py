@@ -128,8 +128,7 @@ def near_duplicate_groups(equations: DataFrame) -> DataFrame:
     links = materialize(similar_classes(reps).select("a", "b"), "links")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     groups = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    least = groups.groupBy("component").agg(F.min("node").alias("group_id"))
-    known = materialize(degree.join(groups.withColumnRenamed("node", "rep"), "rep").join(least, "component").select("rep", "n_links", "group_id"), "known")
+    known = materialize(degree.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group_id")), "rep").select("rep", "n_links", "group_id"), "known")
     sizes = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).join(known, "rep", "left")
     out = salted_lookup(rows.withColumnRenamed("n", "n_copies"), sizes, ["rep"], "n", "row_id")
     return out.select("row_id", F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "rep").alias("group_id"))

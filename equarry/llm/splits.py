@@ -45,9 +45,7 @@ def file_groups(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def tied_files(cases: DataFrame, equations: DataFrame) -> DataFrame:
     """(group_key, source_id): each file that must stay with a smaller one, with the smallest file of its group."""
     grouped, _ = file_groups(unit_files(cases, equations))
-    least = grouped.groupBy("component").agg(F.min("node").alias("group_key"), F.count(F.lit(1)).alias("n"))
-    out = salted_lookup(grouped, least, ["component"], "n", "node")
-    return out.where("node <> group_key").select("group_key", F.col("node").alias("source_id"))
+    return grouped.where("node <> component").select(F.col("component").alias("group_key"), F.col("node").alias("source_id"))
 
 
 def assign_splits(cases: DataFrame, equations: DataFrame, shares=SHARES) -> DataFrame:
@@ -60,10 +58,11 @@ def assign_splits(cases: DataFrame, equations: DataFrame, shares=SHARES) -> Data
     records are stored again. One component may hold most cases; then the shares can't be met, see split_shares.
     """
     grouped, centres = file_groups(unit_files(cases, equations))
-    of_unit = centres.join(grouped, centres["centre"] == grouped["node"], "left").select("unit", F.coalesce("component", "centre").alias("component"))
+    per_centre = centres.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).join(grouped.withColumnRenamed("node", "centre"), "centre", "left")
+    of_unit = salted_lookup(centres.select("unit", "centre"), per_centre, ["centre"], "n", "unit").select("unit", F.concat(F.lit("file:"), F.coalesce("component", "centre")).alias("component"))
     per_unit = case_units(cases).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     units = materialize(per_unit.join(of_unit, "unit", "left").withColumn("component", F.coalesce("component", "unit")), "units")
-    sizes = materialize(units.groupBy("component").agg(F.sum("n").alias("cases")).withColumn("h", F.xxhash64("component")), "sizes")
+    sizes = materialize(units.groupBy("component").agg(F.sum("n").alias("cases"), F.count(F.lit(1)).alias("units")).withColumn("h", F.xxhash64("component")), "sizes")
     total, parts = sizes.agg(F.coalesce(F.sum("cases"), F.lit(0)), F.count(F.lit(1))).first()
     large = F.col("cases") > total * min(s for _, s in shares)
     placed = running_total(sizes.withColumn("late", F.when(large, 0).otherwise(1)), ["late"], "cases", "h", "component", slices_for(parts))
@@ -72,8 +71,8 @@ def assign_splits(cases: DataFrame, equations: DataFrame, shares=SHARES) -> Data
     split = F.lit(shares[-1][0])
     for name, share in reversed(shares[:-1]):
         split = F.when(middle < sum(s for _, s in shares[: [n for n, _ in shares].index(name) + 1]), F.lit(name)).otherwise(split)
-    by_component = placed.select("component", split.alias("split"))
-    by_unit = materialize(units.join(by_component, "component").select("unit", "component", "split", "n"), "unitsplits")
+    by_component = placed.select("component", split.alias("split"), "units")
+    by_unit = materialize(salted_lookup(units, by_component, ["component"], "units", "unit").select("unit", "component", "split", "n"), "unitsplits")
     return salted_lookup(case_units(cases).select("row_id", "unit"), by_unit, ["unit"], "n", "row_id").select("row_id", "split", "component")
 
 

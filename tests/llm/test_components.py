@@ -23,7 +23,7 @@ def solved(spark, edges, kind="bigint"):
     groups = {}
     for r in rows:
         groups.setdefault(r["component"], set()).add(r["node"])
-    assert len({r["node"] for r in rows}) == len(rows)
+    assert len({r["node"] for r in rows}) == len(rows) and all(min(g) == name for name, g in groups.items())
     return {frozenset(g) for g in groups.values()}
 
 

@@ -1,4 +1,9 @@
+import random
+from functools import partial
+
+from equarry.llm import components, splits
 from equarry.llm.splits import assign_splits, split_shares, tied_files
+from equarry.operators import skew
 
 CASES = "row_id bigint, original_core_id string, correct_model_ids array<string>, unit string, n int"
 EQS = "source_id string, n int"
@@ -36,3 +41,18 @@ def test_one_component_over_all_and_empty_tables(spark):
     files = spark.createDataFrame([("a",)], "source_id string")
     assert {r["split"] for r in assign_splits(cases, files).collect()} == {"train"}
     assert assign_splits(cases.limit(0), files).collect() == [] and tied_files(cases.limit(0), files.limit(0)).collect() == []
+
+
+def test_no_switch_changes_a_split(spark, monkeypatch):
+    """However components are found and hot keys are dealt, each record has the same split and component."""
+    rng = random.Random(4)
+    cases = [(i, f"core{rng.randrange(150)}" if i % 4 else None, [f"f{rng.randrange(90)}__1" for _ in range(rng.choice((1, 1, 1, 2)))]) for i in range(400)]
+    cases = spark.createDataFrame(cases, "row_id bigint, original_core_id string, correct_model_ids array<string>")
+    files = spark.createDataFrame([(f"f{i}",) for i in range(90)], "source_id string")
+    one = sorted(map(tuple, assign_splits(cases, files).collect()))
+    monkeypatch.setattr(components, "SMALL_GRAPH", 0)
+    monkeypatch.setattr(components, "SLICE", 3)
+    dealt = partial(skew.salted_lookup, least=5)
+    monkeypatch.setattr(components, "salted_lookup", dealt)
+    monkeypatch.setattr(splits, "salted_lookup", dealt)
+    assert one == sorted(map(tuple, assign_splits(cases, files).collect()))

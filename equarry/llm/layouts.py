@@ -50,7 +50,7 @@ def layout_copies(cases: DataFrame) -> DataFrame:
     """
     forms = cases.select("row_id", context_form("context").alias("c"), symbol_set("input_variables").alias("i"), symbol_set("output_variables").alias("o")).where("c <> ''")
     lanes = [_lane([("context", F.col("c"))], [("input", F.col("i")), ("output", F.col("o"))], salt).alias(f"f{salt}") for salt in (1, 2)]
-    rows = forms.select("row_id", *lanes, "c", "i", "o")
+    rows = materialize(forms.select("row_id", *lanes, "c", "i", "o"), "fingerprints")  # read twice below
     groups = materialize(rows.groupBy("f1", "f2").agg(F.min("row_id").alias("first_row_id"), F.count(F.lit(1)).alias("n")), "layouts")
     several = groups.where("n > 1")
     members = salted_lookup(rows, several, ["f1", "f2"], "n", "row_id", least=100_000)

@@ -14,6 +14,8 @@ from equarry.operators.skew import running_total, slices_for
 from equarry.session import materialize
 
 SEED = 17
+#: Patterns and targets the driver plans with; more are refused. Ranges of up to so many are broadcast, more are joined by a shuffle.
+MOST_PATTERNS, MOST_SENT = 100_000, 20_000
 
 
 class MinCostFlow:
@@ -103,19 +105,20 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     costs more with each copy. The patterns are as many as the sets of listed sources that occur together. Without total
     the largest one is taken at which the shares of all collections that have documents are met; listed collections
     without documents get nothing and the other shares are scaled up. Each pattern's texts stand in a seeded order, and
-    their running sum of tokens against the flow's bounds selects them, so a quota is met but for one text at each bound.
-    Null or unlisted sources and texts without tokens take no part.
+    their running sum of tokens against the flow's bounds selects them: a text belongs to the range its middle falls into, so a
+    quota is met but for half a text at each bound. Null or unlisted sources and texts without tokens take no part. More than
+    MOST_PATTERNS listed sources or patterns are an error, as the driver couldn't plan with them.
     """
     spark = documents.sparkSession
-    wanted = {r[0]: (float(r[1]), int(r[2])) for r in targets.groupBy(filled("source").alias("source")).agg(F.sum("target_share"), F.max("max_repeats")).where("source is not null and `sum(target_share)` > 0 and `max(max_repeats)` > 0").collect()}
+    wanted = {r[0]: (float(r[1]), int(r[2])) for r in targets.groupBy(filled("source").alias("source")).agg(F.sum("target_share"), F.max("max_repeats")).where("source is not null and `sum(target_share)` > 0 and `max(max_repeats)` > 0").limit(MOST_PATTERNS + 1).collect()}
     listed = documents.withColumn("source", filled("source")).where(F.col("source").isin(sorted(wanted))).withColumn("h", F.md5("text"))
     held = with_lengths(listed, ["doc_id", "source", "h"], vocabulary).where("n_tokens > 0")
     held = materialize(held.groupBy("h", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")), "held")
     texts = held.groupBy("h").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.max("n_tokens").alias("n_tokens"))
     texts = materialize(texts.withColumn("pattern", F.to_json("pattern")).withColumn("o", F.xxhash64(F.lit(seed), "h")), "texts")
-    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-
-
+    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if max(len(sums), len(wanted)) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sources or sets of sources that hold the same text")
     capacity = {tuple(json.loads(r["pattern"])): int(r["t"]) for r in sums}
     present = {s for p in capacity for s in p}
     shares, repeats = {s: wanted[s][0] for s in present}, {s: wanted[s][1] for s in present}
@@ -129,7 +132,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
         bounds.append((json.dumps(list(p), ensure_ascii=False, separators=(",", ":")), j, s, low, low + n))
     ranges = spark.createDataFrame(bounds, "pattern string, copy_no int, source string, low bigint, high bigint")
     ordered = running_total(texts, ["pattern"], "n_tokens", "o", "h", slices_for(sum(r["n"] for r in sums)))
-    chosen = ordered.join(F.broadcast(ranges), "pattern").where("before >= low and before < high").select("h", "source", "copy_no")
+    ranges = F.broadcast(ranges) if len(bounds) <= MOST_SENT else ranges.hint("merge")
+    inside = (2 * F.col("before") + F.col("n_tokens") >= 2 * F.col("low")) & (2 * F.col("before") + F.col("n_tokens") < 2 * F.col("high"))
+    chosen = ordered.join(ranges, "pattern").where(inside).select("h", "source", "copy_no")
     return chosen.join(held, ["h", "source"]).select("source", "doc_id", "copy_no", "n_tokens")
 
 

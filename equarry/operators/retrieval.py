@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equarry.functions.text import filled, filled_items, norm, terms
+from equarry.operators.blocks import Block, Overlap
+from equarry.operators.blocks import best_ranks as blockwise_ranks
+from equarry.operators.blocks import top as blockwise_top
 from equarry.operators.cases import case_symbols
 from equarry.operators.corpus import candidates, equation_text, keyed_equations
 from equarry.operators.skew import places, running_total, slices_for
@@ -60,13 +65,48 @@ class Index:
     """Texts and symbols of the candidates, ready to score cases."""
 
     def __init__(self, equations: DataFrame):
-        self.rows = indexed(equations)
+        self.rows = materialize(indexed(equations), "indexed")
         texts = self.rows.select(F.col("idx").alias("id"), equation_text().alias("text"))
-        counts = materialize(term_counts(texts), "counts")
-        self.vocab = vocabulary(counts, texts)
-        self.weights = weights(counts, self.vocab)
+        self.texts, self._stored = texts, {}
         self.symbols = self.rows.select("idx", F.array_distinct(F.filter(F.transform(F.map_keys("variables"), norm), lambda x: x != "")).alias("s")).select("idx", F.explode("s").alias("symbol"), F.size("s").alias("n"))
 
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._stored:
+            self._stored[name] = materialize(make(), name)
+        return self._stored[name]
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._once("counts", lambda: term_counts(self.texts))
+
+    @property
+    def vocab(self) -> DataFrame:
+        return self._once("vocab", lambda: vocabulary(self.counts, self.texts))
+
+    @property
+    def weights(self) -> DataFrame:
+        return self._once("weights", lambda: weights(self.counts, self.vocab))
+
+    def blocks(self, cases: DataFrame, text: float = TEXT_WEIGHT, symbol: float = SYMBOL_WEIGHT) -> tuple[DataFrame, Iterator[Block]]:
+        """The candidates as rows to score, and the cases in blocks with their scores: text times the cosine of the texts and symbol
+        times the overlap of the symbols. This is what ranks and best candidates are counted by; the score tables below are for
+        those who want every pair."""
+        if "overlap" not in self._stored:
+            symbols = F.array_distinct(F.filter(F.transform(F.map_keys("variables"), norm), lambda x: x != ""))
+            self._stored["overlap"] = Overlap(self.rows.select(F.col("idx").alias("id"), equation_text().alias("text"), symbols.alias("symbols")), VOCABULARY)
+        asked = cases.select(F.col("row_id").alias("id"), norm("context").alias("text"), case_symbols().alias("symbols"))
+        return self._stored["overlap"].rows, self._stored["overlap"].blocks(asked, text, symbol)
+
+    def best(self, cases: DataFrame, k: int, text: float = TEXT_WEIGHT, symbol: float = SYMBOL_WEIGHT) -> DataFrame:
+        """(row_id, idx, score, place): the k best candidates of each case."""
+        return blockwise_top(*self.blocks(cases, text, symbol), k)
+
+    def ranks(self, cases: DataFrame, text: float = TEXT_WEIGHT, symbol: float = SYMBOL_WEIGHT) -> DataFrame:
+        """(row_id, best_rank) for each case that names a candidate."""
+        right = materialize(positives(cases, self.rows), "positives")
+        rows, blocks = self.blocks(cases.join(right.select("row_id").distinct(), "row_id", "left_semi"), text, symbol)
+        return blockwise_ranks(rows, right, blocks)
+
     def text_scores(self, cases: DataFrame) -> DataFrame:
         """(row_id, idx, text_score) for pairs that share a term."""
         q = weights(term_counts(cases.select(F.col("row_id").alias("id"), norm("context").alias("text"))), self.vocab)
@@ -103,7 +143,7 @@ def best_ranks(scores: DataFrame, right: DataFrame, rows: DataFrame) -> DataFram
     Candidates without a score have 0. The best positive has the highest score and then the least idx; before it are the
     scored ones above it, and if its own score is 0 also the unscored ones with a smaller idx, counted by its place.
     """
-    placed = places(rows.select("idx"), "idx")
+    placed, scores = places(rows.select("idx"), "idx"), materialize(scores, "scores")  # read twice below
     own = right.join(scores, ["row_id", "idx"], "left").select("row_id", "idx", F.coalesce("score", F.lit(0.0)).alias("score"))
     best = own.groupBy("row_id").agg(F.max(F.struct("score", (-F.col("idx")).alias("i"))).alias("b")).select("row_id", F.col("b.score").alias("s"), (-F.col("b.i")).alias("i"))
     best = best.join(placed.select(F.col("idx").alias("i"), "at"), "i")

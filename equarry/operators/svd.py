@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equarry.functions.text import terms
+from equarry.operators.blocks import Block, Vocabulary, best_ranks, in_blocks
 from equarry.operators.corpus import case_text, equation_text
 from equarry.operators.retrieval import DIGITS, VOCABULARY, indexed, positives
 from equarry.session import drop_table, materialize
@@ -91,29 +89,6 @@ def orthonormal(m: np.ndarray) -> np.ndarray:
     return m
 
 
-def tokens(texts: DataFrame) -> DataFrame:
-    return texts.select("id", terms(F.col("text")).alias("g"))
-
-
-def with_pairs(g) -> list[str]:
-    """Terms and pairs of neighbouring ones, as retrieval.grams."""
-    return [*g, *map(" ".join, zip(g, g[1:]))]
-
-
-def term_totals(texts: DataFrame) -> DataFrame:
-    """(term, tf, df) of texts(id, text): added up in each Arrow batch first, so that what is shuffled isn't a row for each text's term."""
-
-    def run(batches):
-        for pdf in batches:
-            tf, df = Counter(), Counter()
-            for g in map(with_pairs, pdf["g"]):
-                tf.update(g)
-                df.update(set(g))
-            yield pd.DataFrame({"term": list(tf), "tf": list(tf.values()), "df": [df[x] for x in tf]})
-
-    return tokens(texts).mapInPandas(run, "term string, tf bigint, df bigint").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-
-
 class TfIdfSvd:
     """The dims largest singular values and right singular vectors of the candidates' uncentred TF-IDF matrix, by subspace iteration.
 
@@ -124,9 +99,8 @@ class TfIdfSvd:
     def __init__(self, equations: DataFrame, dims: int = DIMS, rounds: int = ROUNDS, size: int = VOCABULARY, head: int = HEAD):
         self.candidates, self.head = materialize(indexed(equations).select("idx", "key", equation_text().alias("text")), "candidates"), head
         texts = self.candidates.select(F.col("idx").alias("id"), "text")
-        vocab = term_totals(texts).orderBy(F.desc("tf"), "term").limit(size).toPandas().sort_values(["tf", "term"], ascending=[False, True])
-        self.sc, self.idf = texts.sparkSession.sparkContext, np.log((1 + texts.count()) / (1 + vocab["df"].to_numpy(np.float64))) + 1
-        self.number = self.sc.broadcast({x: i for i, x in enumerate(vocab["term"])})
+        self.sc, self.vocabulary = texts.sparkSession.sparkContext, Vocabulary(texts, size)
+        self.idf, self.counted = self.vocabulary.idf, self.vocabulary.counted
         self.rows = materialize(self.counted(texts), "tfidf")
         m = np.random.default_rng(SEED).standard_normal((len(self.idf), min(dims + OVERSAMPLED, len(self.idf))), np.float32)
         for _ in range(rounds):
@@ -136,18 +110,6 @@ class TfIdfSvd:
         order = np.argsort(-value)[:dims]
         self.values, self.basis = np.sqrt(np.maximum(value[order], 0)), m @ basis[:, order].astype(np.float32)
 
-    def counted(self, texts: DataFrame) -> DataFrame:
-        """(id, t, c) of texts(id, text): the numbers of the text's terms in the vocabulary and their counts."""
-        number = self.number
-
-        def run(batches):
-            get = number.value.get
-            for pdf in batches:
-                both = [np.unique([i for i in map(get, with_pairs(g)) if i is not None], return_counts=True) for g in pdf["g"]]
-                yield pd.DataFrame({"id": pdf["id"], "t": [x.astype(np.int32) for x, _ in both], "c": [x.astype(np.int32) for _, x in both]})
-
-        return tokens(texts).mapInPandas(run, "id bigint, t array<int>, c array<int>")
-
     def _gram_times(self, m: np.ndarray) -> np.ndarray:
         out = np.empty_like(m)
         for at in range(0, m.shape[1], COLUMNS):
@@ -188,41 +150,19 @@ class TfIdfSvd:
         return self.counted(texts).mapInPandas(run, "node bigint, x array<float>")
 
     def best_ranks(self, cases: DataFrame) -> DataFrame:
-        """(row_id, best_rank): the place of a case's best positive among all candidates by cosine, rounded, equal ones by idx.
-
-        Cases go to the tasks in blocks; a task counts its candidates above each case's best positive, so nothing is sorted.
-        """
+        """(row_id, best_rank): the place of a case's best positive among all candidates by cosine, rounded, equal ones by idx."""
         right = materialize(positives(cases, self.candidates), "positives")
         texts = cases.join(right.select("row_id").distinct(), "row_id", "left_semi").select(F.col("row_id").alias("id"), case_text().alias("text"))
-        asked = materialize(self.counted(texts), "askedterms")
-        ids = [r[0] for r in asked.select("id").orderBy("id").collect()]
-        sent, idf, head, out = self.sc.broadcast(self.basis), self.idf, self.head, None
-        for k in range(0, max(len(ids), 1), BLOCK):
-            low, high = (ids[k], ids[min(k + BLOCK, len(ids)) - 1]) if ids else (0, -1)
-            pdf = asked.where(F.col("id").between(low, high)).orderBy("id").toPandas()
-            q_ids = pdf["id"].to_numpy(np.int64)
-            q = np.concatenate([np.zeros((0, self.basis.shape[1]), np.float32), *[unit(x.times(self.basis)) for _, x in blocks(pdf, idf, head)]])
-
-            def own(batches, q=q, q_ids=q_ids):
-                for pdf in batches:
-                    for part, x in blocks(pdf, idf, head):
-                        e = unit(x.times(sent.value))
-                        for i, asking in enumerate(part["asking"]):
-                            yield pd.DataFrame({"row_id": asking, "idx": part["id"].iloc[i], "score": np.round(q[np.searchsorted(q_ids, asking)] @ e[i], DIGITS)})
-
-            named = right.where(F.col("row_id").between(low, high)).groupBy(F.col("idx").alias("id")).agg(F.collect_list("row_id").alias("asking"))
-            found = self.rows.join(named, "id").mapInPandas(own, "row_id bigint, idx bigint, score float").toPandas()
-            best = found.sort_values(["row_id", "score", "idx"], ascending=[True, False, True]).drop_duplicates("row_id")
-            score_of, idx_of = best["score"].to_numpy(np.float32), best["idx"].to_numpy(np.int64)
-
-            def above(batches, q=q, q_ids=q_ids, score_of=score_of, idx_of=idx_of):
-                n = np.zeros(len(q_ids), np.int64)
-                for pdf in batches:
+        sent, idf, head = self.sc.broadcast(self.basis), self.idf, self.head
+
+        def asked():
+            for pdf in in_blocks(materialize(self.counted(texts), "askedterms"), BLOCK):
+                q = np.concatenate([unit(x.times(self.basis)) for _, x in blocks(pdf, idf, head)])
+
+                def scores(pdf, q=q):
                     for part, x in blocks(pdf, idf, head):
-                        score, idx = np.round(unit(x.times(sent.value)) @ q.T, DIGITS), part["id"].to_numpy(np.int64)[:, None]
-                        n += ((score > score_of) & (idx != idx_of) | (score == score_of) & (idx < idx_of)).sum(0)
-                yield pd.DataFrame({"row_id": q_ids, "n": n})
+                        yield part, np.round(unit(x.times(sent.value)) @ q.T, DIGITS)
+
+                yield Block(pdf["id"].to_numpy(np.int64), scores)
 
-            part = self.rows.coalesce(self.sc.defaultParallelism).mapInPandas(above, "row_id bigint, n bigint")
-            out = part if out is None else out.unionByName(part)
-        return out.groupBy("row_id").agg((F.sum("n") + 1).alias("best_rank"))
+        return best_ranks(self.rows, right, asked())

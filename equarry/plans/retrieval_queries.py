@@ -21,14 +21,11 @@ def _index(s, d):
 
 
 def _mixed_ranks(s, d):
-    index, cases = _index(s, d), _cases(s, d)
-    return R.best_ranks(index.mixed_scores(cases), R.positives(cases, index.rows), index.rows)
+    return _index(s, d).ranks(_cases(s, d))
 
 
 def _symbol_ranks(s, d):
-    index, cases = _index(s, d), _cases(s, d)
-    scores = index.symbol_scores(cases).select("row_id", "idx", F.round("symbol_score", R.DIGITS).alias("score"))
-    return R.best_ranks(scores, R.positives(cases, index.rows), index.rows)
+    return _index(s, d).ranks(_cases(s, d), 0.0, 1.0)
 
 
 def _svd_ranks(s, d):
@@ -52,9 +49,9 @@ def _split_metrics(s, d):
 QUERIES = {
     "vocab_cap_topk": lambda s, d: _index(s, d).vocab.select("term", "tf", F.round("idf", R.DIGITS).alias("idf")),
     "tfidf_weights": lambda s, d: _index(s, d).weights.select(F.col("id").alias("idx"), "term", F.round("w", R.DIGITS).alias("w")),
-    "text_cosine_topk": lambda s, d: R.top(_index(s, d).text_scores(_cases(s, d)).select("row_id", "idx", F.round("text_score", R.DIGITS).alias("score")), 10),
-    "jaccard_topk": lambda s, d: R.top(_index(s, d).symbol_scores(_cases(s, d)).select("row_id", "idx", F.round("symbol_score", R.DIGITS).alias("score")), 10),
-    "mix_score_topk": lambda s, d: R.top(_index(s, d).mixed_scores(_cases(s, d)), 10),
+    "text_cosine_topk": lambda s, d: _index(s, d).best(_cases(s, d), 10, 1.0, 0.0),
+    "jaccard_topk": lambda s, d: _index(s, d).best(_cases(s, d), 10, 0.0, 1.0),
+    "mix_score_topk": lambda s, d: _index(s, d).best(_cases(s, d), 10),
     "best_rank_mix": _mixed_ranks,
     "best_rank_jaccard": _symbol_ranks,
     "retrieval_metrics": lambda s, d: R.metrics(_mixed_ranks(s, d)),

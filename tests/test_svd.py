@@ -28,7 +28,7 @@ def test_svd_cosine_ranks(spark):
     cases = spark.createDataFrame([(i, t, ["alpha"], None, [f"S__e{3 * i}", f"S__e{3 * i + 1}"]) for i, t in enumerate(asked)] + [(99, "heat", None, None, None)], "row_id bigint, context string, input_variables array<string>, output_variables array<string>, correct_model_ids array<string>")
     fitted = svd.TfIdfSvd(equations, dims=6, size=16, head=5)
 
-    number, grams = fitted.number.value, lambda t: t.split() + [f"{a} {b}" for a, b in zip(t.split(), t.split()[1:])]
+    number, grams = fitted.vocabulary.number.value, lambda t: t.split() + [f"{a} {b}" for a, b in zip(t.split(), t.split()[1:])]
 
     def weights(ts):
         counts = [Counter(grams(t.lower())) for t in ts]

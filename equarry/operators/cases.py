@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equarry.functions.text import catalog_key, filled, filled_items, norm
+from equarry.operators.skew import places
 
 #: The texts put before a context.
 TEMPLATES = (
@@ -60,20 +61,19 @@ def model_symbols(cores: DataFrame, equations: DataFrame) -> DataFrame:
     return ids.join(symbols, "model_id").groupBy("row_id").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
 
 
-def expand(cores: DataFrame, equations: DataFrame, seed: str = SEED) -> DataFrame:
-    """Up to nine variants of each core case: the original, three paraphrases, inputs and outputs exchanged where both exist, and
+def expanded(cores: DataFrame, equations: DataFrame, seed: str = SEED) -> DataFrame:
+    """(row_id, variant, variant_type, context, input_variables, output_variables): up to nine variants of each core case: the original, three paraphrases, inputs and outputs exchanged where both exist, and
     four with outputs drawn from the symbols of its equations (else its own), the rest as inputs.
 
-    Draws are by a hash of seed, case, variant and symbol, so they repeat. Symbols of a list are joined by |.
+    Draws are by a hash of seed, case, variant and symbol, so they repeat.
     """
     own = F.array_sort(F.array_distinct(F.concat(F.coalesce("input_variables", F.array().cast("array<string>")), F.coalesce("output_variables", F.array().cast("array<string>")))))
     base = cores.select("row_id", "case_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("input_variables", F.array().cast("array<string>")).alias("i"), F.coalesce("output_variables", F.array().cast("array<string>")).alias("o"), F.filter(own, lambda x: x.isNotNull()).alias("own"))
     base = base.join(model_symbols(cores, equations), "row_id", "left").withColumn("pool", F.coalesce("symbols", "own"))
     texts = [F.col("context"), *[F.concat(F.lit(t), F.col("context")) for t in TEMPLATES]]
-    join = lambda c: F.array_join(c, "|")
 
     def variant(number: str, kind: str, text: Column, i: Column, o: Column, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(number).alias("variant"), F.lit(kind).alias("variant_type"), text.alias("context"), join(i).alias("inputs"), join(o).alias("outputs")))
+        return F.when(when, F.struct(F.lit(number).alias("variant"), F.lit(kind).alias("variant_type"), text.alias("context"), i.alias("input_variables"), o.alias("output_variables")))
 
     made = [variant("v1", "original", texts[0], F.col("i"), F.col("o"), F.lit(True))]
     made += [variant(f"p{k}", "context_paraphrased", texts[k], F.col("i"), F.col("o"), F.lit(True)) for k in (1, 2, 3)]
@@ -88,6 +88,26 @@ def expand(cores: DataFrame, equations: DataFrame, seed: str = SEED) -> DataFram
     return each.select("row_id", "x.*")
 
 
+def expand(cores: DataFrame, equations: DataFrame, seed: str = SEED) -> DataFrame:
+    """expanded with the symbols of a list joined by |."""
+    joined = lambda c: F.array_join(c, "|")
+    return expanded(cores, equations, seed).select("row_id", "variant", "variant_type", "context", joined("input_variables").alias("inputs"), joined("output_variables").alias("outputs"))
+
+
+def numbered(cores: DataFrame) -> DataFrame:
+    """(row_id, number, base): core_001 and so on in the order of row_id, at least three digits."""
+    placed = places(cores.select("row_id"), "row_id", "number").withColumn("number", F.col("number") + 1)
+    return placed.select("row_id", "number", F.format_string("core_%03d", "number").alias("base"))
+
+
+def expanded_cases(cores: DataFrame, equations: DataFrame, seed: str = SEED) -> DataFrame:
+    """The variants as training cases ready to be loaded: case_id is the core's number and the variant's, original_core_id the
+    core's own id as stored, correct_model_ids those of the core."""
+    name = F.when(F.col("variant").startswith("p"), F.concat(F.lit("v1_para"), F.substring("variant", 2, 9))).otherwise(F.col("variant"))
+    out = expanded(cores, equations, seed).join(numbered(cores), "row_id").join(cores.select("row_id", F.col("case_id").alias("original_core_id"), "correct_model_ids"), "row_id")
+    return out.select(F.concat("base", F.lit("_"), name).alias("case_id"), "original_core_id", "variant_type", "context", "input_variables", "output_variables", F.coalesce("correct_model_ids", F.array().cast("array<string>")).alias("correct_model_ids"))
+
+
 def paraphrase(cases: DataFrame) -> DataFrame:
     """New rows (row_id, k, case_id, context, and the lists) for the paraphrases of originals whose signature isn't there yet.
 

@@ -65,17 +65,3 @@ def top_network(pairs: DataFrame, n: int = 60) -> DataFrame:
     top = F.broadcast(cooccurrence_degree(pairs).orderBy(F.desc("degree"), "symbol").limit(n).select("symbol"))
     return pairs.join(top.withColumnRenamed("symbol", "a"), "a", "left_semi").join(top.withColumnRenamed("symbol", "b"), "b", "left_semi")
 
-
-def report_lines(equations: DataFrame, cases: DataFrame) -> DataFrame:
-    """A text report, a line a row: section, place and text in fixed width."""
-    from pyspark.sql import Window
-
-    def ranked(df, key, section, width):
-        w = Window.orderBy(F.desc("n"), key)
-        return df.orderBy(F.desc("n"), key).limit(30).select(F.lit(section).alias("section"), F.row_number().over(w).alias("place"), F.concat(F.rpad(F.coalesce(F.substring(key, 1, width), F.lit("")), width, " "), F.lpad(F.col("n").cast("string"), 10, " ")).alias("line"))
-
-    parts = [ranked(counts_of(equations, "domain", "unknown"), "domain", "domains", 45), ranked(variable_frequency(equations), "symbol", "variables", 25), ranked(counts_of(cases, "variant_type", "unknown"), "variant_type", "variants", 25)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

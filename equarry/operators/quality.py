@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from equarry.functions.text import filled_items, norm
 from equarry.operators.corpus import keyed_equations
 
+#: The fields a case must have.
 FIELDS = ("case_id", "original_core_id", "variant_type", "context", "input_variables", "output_variables", "correct_model_ids")
 
 
@@ -24,14 +25,15 @@ def missing_totals(cases: DataFrame, equations: DataFrame) -> DataFrame:
     return missing_references(cases, equations).agg(F.count(F.lit(1)).alias("n_missing"), F.countDistinct("row_id").alias("n_cases"))
 
 
-def inconsistent_symbols(cases: DataFrame, equations: DataFrame) -> DataFrame:
-    """(row_id, symbol): input or output symbols, repeated ones each time, that none of the case's equations has; all of them
+def inconsistent_symbols(cases: DataFrame, equations: DataFrame, with_place: bool = False) -> DataFrame:
+    """(row_id, symbol), and with_place at, the symbol's place: input or output symbols, repeated ones each time, that none of the case's equations has; all of them
     where no equation is found. Of equations with the same key the last one counts."""
     last = keyed_equations(equations).groupBy("key").agg(F.max_by("variables", "row_id").alias("variables"))
     symbols = last.select("key", F.explode(F.array_distinct(F.transform(F.map_keys("variables"), norm))).alias("symbol"))
     known = _references(cases).distinct().join(symbols, "key").select("row_id", "symbol").distinct()
-    used = cases.select("row_id", F.explode(F.concat(filled_items("input_variables"), filled_items("output_variables"))).alias("symbol"))
-    return used.join(known, ["row_id", "symbol"], "left_anti")
+    used = cases.select("row_id", F.posexplode(F.concat(filled_items("input_variables"), filled_items("output_variables"))).alias("at", "symbol"))
+    out = used.join(known, ["row_id", "symbol"], "left_anti")
+    return out if with_place else out.drop("at")
 
 
 def inconsistent_cases(cases: DataFrame, equations: DataFrame) -> DataFrame:

@@ -163,14 +163,14 @@ def metrics(ranks: DataFrame, *group: str) -> DataFrame:
 def source_split(equations: DataFrame, test: float = 0.2, validation: float = 0.2, seed: str = "42") -> DataFrame:
     """(source, split): sources in the order of a seeded MD5, the first part test, the next validation, the rest train.
 
-    Parts are rounded half to even and hold at least one source. Places are counted over ranges of the hash, so no task
+    Parts are rounded half to even and hold at least one source, but with validation 0 there are two parts. Places are counted over ranges of the hash, so no task
     holds all sources.
     """
     sources = keyed_equations(equations).select(F.coalesce(filled("source_id"), F.lit("unknown")).alias("source")).distinct()
     n = sources.count()
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "source")), 1, 15), 16, 10).cast("bigint") * 8
     placed = running_total(sources.withColumn("one", F.lit(1)).withColumn("o", order), [], "one", "o", "source", slices_for(n), "at")
-    n_test, n_validation = max(1, round(n * test)), max(1, round(n * validation))
+    n_test, n_validation = max(1, round(n * test)), max(1, round(n * validation)) if validation else 0
     return placed.select("source", F.when(F.col("at") < n_test, "test").when(F.col("at") < n_test + n_validation, "val").otherwise("train").alias("split"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from equarry.operators import cases as C
-from equarry.operators import profile, quality
+from equarry.operators import profile, quality, reports
 from equarry.plans import sqltext as S
 from equarry.sources.tables import table
 
@@ -21,6 +21,16 @@ def _paraphrases(s, d):
     return C.paraphrase(_case(s, d)).select("row_id", "k", "case_id", "context")
 
 
+def _examples(s, d):
+    e = reports.health_examples(_case(s, d), _eq(s, d))
+    return e.select("row_id", "case_id", "variant_type", F.array_join("missing_vars", "|").alias("missing_vars"), "n_missing_vars", F.array_join("correct_model_ids", "|").alias("correct_model_ids"))
+
+
+def _expanded(s, d):
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return C.expanded_cases(_core(s, d), _eq(s, d)).select("case_id", "original_core_id", "variant_type", "context", joined("input_variables"), joined("output_variables"), joined("correct_model_ids"))
+
+
 QUERIES = {
     "key_prefix_mode": lambda s, d: C.modal_source(_case(s, d)),
     "set_ops_vars": lambda s, d: C.symbol_sets(_case(s, d)),
@@ -29,6 +39,11 @@ QUERIES = {
     "length_stats": lambda s, d: profile.list_stats(_case(s, d)),
     "missing_refs_anti": lambda s, d: quality.missing_totals(_case(s, d), _eq(s, d)),
     "io_var_consistency": lambda s, d: quality.inconsistent_cases(_case(s, d), _eq(s, d)),
+    "health_counts": lambda s, d: reports.health_counts(_case(s, d), _eq(s, d)),
+    "health_examples": _examples,
+    "numbered_cores": lambda s, d: C.numbered(_core(s, d)),
+    "expanded_cases": _expanded,
+    "json_key_presence": lambda s, d: quality.absent_fields(table(s, d, "events").select(F.col("props").alias("json")), ("k", "session", "v")),
     "required_field_presence": lambda s, d: quality.absent_fields(_case(s, d).select(F.to_json(F.struct(*quality.FIELDS)).alias("json"))),
     "duplicate_signatures_trimmed": lambda s, d: C.duplicate_groups(_case(s, d), True),
     "duplicate_signatures_stored": lambda s, d: C.duplicate_groups(_case(s, d), False),
@@ -69,7 +84,31 @@ base as (select c.row_id, coalesce(context, '') context, coalesce(input_variable
 """ + "\nunion all ".join(parts)
 
 
+_BAD = f"""rows_ as (select e.* from equations e join (select {S.global_key()} as key, max(row_id) row_id from equations group by 1 having key is not null) using (row_id)),
+symbols as (select distinct {S.global_key()} as key, coalesce({S.trim('u')}, '') symbol from (select source_id, eq_id, unnest(map_keys(variables)) u from rows_)),
+known as (select distinct row_id, symbol from (select row_id, unnest({_M}) as key from training_cases) join symbols using (key)),
+lists as (select row_id, list_concat({_I}, {_O}) l from training_cases),
+used as (select row_id, unnest(range(1, len(l) + 1)) at_, l from lists),
+bad as (select row_id, at_, l[at_] symbol from used u where not exists (select 1 from known k where k.row_id = u.row_id and k.symbol = u.l[u.at_]))"""
+_HEALTH = f"""(coalesce({S.trim('original_core_id')}, ''), coalesce({S.trim('variant_type')}, ''), coalesce({S.trim('context')}, ''), list_sort(list_distinct(list_transform(coalesce(input_variables, []), lambda e: coalesce({S.trim('e')}, '')))), list_sort(list_distinct(list_transform(coalesce(output_variables, []), lambda e: coalesce({S.trim('e')}, '')))), list_sort(list_distinct(list_transform(coalesce(correct_model_ids, []), lambda e: coalesce(e, '')))))"""
+
 SQL = {
+    "health_counts": f"""with {_BAD},
+missing as (select row_id, k from (select row_id, unnest({_M}) k from training_cases) where k not in (select {S.global_key()} from equations where {S.filled('eq_id')} is not null)),
+twice as (select count(*) n from training_cases group by {_HEALTH} having count(*) >= 2)
+select 'n_equations' as name, count(*) as value from equations union all select 'n_cases', count(*) from training_cases
+union all select 'missing_equation_ids_total', count(*) from missing union all select 'cases_with_missing_equation_ids', count(distinct row_id) from missing
+union all select 'io_not_in_any_correct_model_vars_cases', count(distinct row_id) from bad union all select 'io_not_in_any_correct_model_vars_total_vars', count(*) from bad
+union all select 'duplicate_signature_groups', count(*) from twice union all select 'duplicate_signature_cases', coalesce(sum(n), 0)::bigint from twice""",
+    "health_examples": f"""with {_BAD},
+firsts as (select row_id, count(*) n_missing_vars, list(symbol order by at_)[1:{reports.EXAMPLE_SYMBOLS}] m from bad group by 1 order by 1 limit {reports.EXAMPLES})
+select row_id, case_id, variant_type, array_to_string(m, '|') missing_vars, n_missing_vars, array_to_string({_M}[1:{reports.EXAMPLE_IDS}], '|') correct_model_ids from firsts join training_cases using (row_id)""",
+    "numbered_cores": "select row_id, number, printf('core_%03d', number) base from (select row_id, row_number() over (order by row_id) number from core_cases)",
+    "expanded_cases": f"""with variants as ({_expand_sql()})
+select printf('core_%03d', number) || '_' || case when variant like 'p%' then 'v1_para' || substr(variant, 2) else variant end case_id, c.case_id original_core_id, variant_type, v.context,
+  inputs input_variables, outputs output_variables, array_to_string(coalesce(correct_model_ids, []), '|') correct_model_ids
+from variants v join core_cases c using (row_id) join (select row_id, row_number() over (order by row_id) number from core_cases) using (row_id)""",
+    "json_key_presence": " union all ".join(f"select '{f}' field, count(*) filter (not coalesce(list_contains(json_keys(props), '{f}'), false)) n from events" for f in ("k", "session", "v")),
     "key_prefix_mode": f"""with each as (select row_id, generate_subscripts(x, 1) p, x from (select row_id, {_M} x from training_cases)),
 ids as (select row_id, p, split_part(x[p], '__', 1) source from each where contains(x[p], '__')),
 best as (select row_id, source from (select row_id, source, count(*) n, min(p) f from ids group by 1, 2) qualify row_number() over (partition by row_id order by n desc, f) = 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from equarry.functions.text import global_key, source_or_unknown
-from equarry.operators import corpus, profile
+from equarry.operators import corpus, profile, reports
 from equarry.operators.corpus import DOMAIN_RULES, NOTATION
 from equarry.plans import sqltext as S
 from equarry.sources.tables import table
@@ -73,7 +73,7 @@ QUERIES = {
     "paper_summary": lambda s, d: corpus.papers(_papers(s, d)).agg(F.count(F.lit(1)).alias("total_count"), F.count_if("has_pdf").alias("with_pdf")),
     "cooccurrence_pairs": lambda s, d: profile.cooccurrence(_eq(s, d)),
     "cooccurrence_top_network": lambda s, d: profile.top_network(profile.cooccurrence(_eq(s, d))),
-    "report_lines": lambda s, d: profile.report_lines(_eq(s, d), table(s, d, "training_cases")),
+    "report_lines": lambda s, d: reports.report_lines(_eq(s, d), table(s, d, "training_cases")),
     "json_events": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("sum_k"), F.count(F.get_json_object("props", "$.k")).alias("n_k")),
 }
 
@@ -81,7 +81,40 @@ _PAIRS = """with keys as (select row_id, unnest(map_keys(variables)) k from equa
 pairs as (select x.k a, y.k b, count(*) weight from keys x join keys y on x.row_id = y.row_id and x.k < y.k group by 1, 2)
 """
 
+def _sizes(what: str, x: str) -> str:
+    return f"printf('{what}:  min = %d, max = %d, mean = %.2f', coalesce(min({x}), 0)::bigint, coalesce(max({x}), 0)::bigint, coalesce(avg({x}), 0)::double)"
+
+
+def _padded(x: str, n: int) -> str:
+    return f"rpad(substr(coalesce({x}, ''), 1, {n}), {n}, ' ')"
+
+
+_REPORT = f"""with keys as (select row_id node, unnest(map_keys(variables)) k from equations),
+arcs as (select distinct x.node src, y.node dst from keys x join keys y on x.k = y.k and x.node <> y.node),
+degree as (select count(*) d from arcs group by src),
+sized as (select coalesce(cardinality(variables), 0) k from equations),
+e as (select row_id, map_keys(variables) k, map_values(variables) v from equations where variables is not null),
+each as (select row_id, p, k[p] symbol, v[p] d from (select row_id, unnest(range(1, len(k) + 1)) p, k, v from e)),
+often as (select symbol, n, row_number() over (order by n desc, f) place from (select symbol, count(*) n, min(row_id * 1000 + p) f from each group by 1) qualify place <= {reports.SYMBOLS}),
+meant as (select symbol, coalesce({S.trim('d')}, '') m from each where d is not null qualify row_number() over (partition by symbol order by row_id, p) = 1),
+domains as (select coalesce(nullif(domain, ''), 'unknown') x, count(*) n from equations group by 1),
+variants as (select coalesce(nullif(variant_type, ''), 'unknown') x, count(*) n from training_cases group by 1)
+select 'equations' section, 1 place, printf('Total number of equations (nodes):  %d', count(*)) line from equations
+union all select 'equations', 2, printf('Unique variable symbols (across all equations):  %d', count(distinct k)) from keys
+union all select 'equations', 3, {_sizes('Variables per equation', 'k')} from sized
+union all (select 'domains', row_number() over (order by n desc, x) p, {_padded('x', 45)} || '  ' || lpad(n::varchar, 6, ' ') from domains qualify p <= {reports.DOMAINS})
+union all select 'symbols', place, {_padded('symbol', 25)} || '  ' || lpad(n::varchar, 5, ' ') || '  |  ' || case when coalesce(m, '') = '' then '(no definition)' when length(m) > 60 then substr(m, 1, 60) || '...' else m end from often left join meant using (symbol)
+union all select 'graph', 1, printf('Number of nodes:  %d', count(*)) from equations
+union all select 'graph', 2, printf('Number of edges:  %d', coalesce(sum(d), 0)::bigint) from degree
+union all select 'graph', 3, printf('Node degree:  min = %d, max = %d, mean = %.2f', coalesce(min(d), 0), coalesce(max(d), 0), round(coalesce(avg(d), 0), 6)::double) from degree
+union all select 'cases', 1, printf('Total number of training cases:  %d', count(*)) from training_cases
+union all select 'cases', 2, {_sizes('Correct model equations per case', 'coalesce(len(correct_model_ids), 0)')} from training_cases
+union all select 'cases', 3, {_sizes('Input variables per case', 'coalesce(len(input_variables), 0)')} from training_cases
+union all select 'cases', 4, {_sizes('Output variables per case', 'coalesce(len(output_variables), 0)')} from training_cases
+union all (select 'variants', row_number() over (order by n desc, x) p, {_padded('x', 35)} || '  ' || lpad(n::varchar, 6, ' ') from variants qualify p <= 30)"""
+
 SQL = {
+    "report_lines": _REPORT,
     "global_key": f"select row_id, coalesce({S.filled('source_id')}, 'unknown') source, {S.global_key()} as key from equations",
     "model_catalog": "select row_id, coalesce(source_id, '') || '__' || coalesce(eq_id, '') model_id, coalesce(domain, '') as domain, array_to_string(list_sort(coalesce(map_keys(variables), [])), '|') variable_symbols from equations",
     "equation_text": f"select row_id, concat_ws(chr(10), {S.filled('context_text')}, {S.filled('equation')}, {S.filled('domain')}) as text, 'Equation: ' || coalesce(equation, '') || chr(10) || 'Context: ' || coalesce(context_text, '') as encoder_text from equations",

@@ -63,6 +63,11 @@ def _grid(s, d):
     return L.grid_search([(rate, decay) for rate in (1e-3, 5e-4) for decay in (0.0, 1e-3)], labelled)
 
 
+def _argmax(s, d):
+    runs = table(s, d, "events").groupBy(F.col("event_type").alias("config")).agg(F.round(F.avg("value"), 6).alias("score"), F.min("event_id").alias("run"))
+    return L.best_run(runs, "score")
+
+
 QUERIES = {
     "bipartite_edges": lambda s, d: G.incidence(_eq(s, d)),
     "node_degree": lambda s, d: G.degrees(_eq(s, d)),
@@ -77,7 +82,7 @@ QUERIES = {
     "pca_2d": lambda s, d: V.principal_components(_nodes(s, d)),
     "residual_alpha0_identity": _residual,
     "grid_search_infonce": _grid,
-    "config_argmax": lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("config")).agg(F.round(F.avg("value"), 6).alias("score"), F.min("event_id").alias("run")).orderBy(F.desc("score"), "run").limit(1),
+    "config_argmax": _argmax,
 }
 
 _ARCS = """keys as (select row_id node, unnest(map_keys(variables)) k from equations),

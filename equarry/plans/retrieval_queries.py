@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from equarry.functions.text import TERM
 from equarry.operators import retrieval as R
 from equarry.operators.cases import modal_source
+from equarry.operators.reports import first_groups, with_text
 from equarry.operators.svd import TfIdfSvd
 from equarry.plans import sqltext as S
 from equarry.sources.tables import table
@@ -36,6 +37,14 @@ def _by_variant(s, d):
     return R.metrics(_mixed_ranks(s, d).join(_cases(s, d).select("row_id", F.coalesce("variant_type", F.lit("unknown")).alias("variant_type")), "row_id"), "variant_type")
 
 
+def _nonblank(s, d):
+    return R.metrics(_index(s, d).ranks(with_text(_cases(s, d))))
+
+
+def _variant_summary(s, d):
+    return first_groups(_by_variant(s, d), 3)
+
+
 def _split_counts(s, d):
     split = R.source_split(table(s, d, "equations"))
     return modal_source(table(s, d, "training_cases")).join(split, "source").groupBy("split").agg(F.count(F.lit(1)).alias("n_cases"))
@@ -58,6 +67,9 @@ QUERIES = {
     "retrieval_metrics_jaccard": lambda s, d: R.metrics(_symbol_ranks(s, d)),
     "retrieval_metrics_by_group": _by_variant,
     "retrieval_metrics_by_split": _split_metrics,
+    "retrieval_metrics_nonblank": _nonblank,
+    "variant_summary": _variant_summary,
+    "source_split_two_way": lambda s, d: R.source_split(table(s, d, "equations"), validation=0),
     "source_split": lambda s, d: R.source_split(table(s, d, "equations")),
     "split_case_counts": _split_counts,
     "negative_samples": lambda s, d: R.sampled_negatives(_cases(s, d), R.indexed(table(s, d, "equations"))),
@@ -126,6 +138,9 @@ SQL = {
     "retrieval_metrics_jaccard": _JACCARD + _RANKS + f"select {_METRICS} from ranks",
     "retrieval_metrics_by_group": _MIXED + _RANKS + f"select coalesce(variant_type, 'unknown') as variant_type, {_METRICS} from ranks join cases using (row_id) group by 1",
     "retrieval_metrics_by_split": _MIXED + _RANKS + f", {_SPLIT}, {_MODAL} select split, {_METRICS} from ranks join of_case using (row_id) join split using (source) group by 1",
+    "retrieval_metrics_nonblank": _MIXED + _RANKS + f"select {_METRICS} from ranks join cases using (row_id) where {S.filled('context')} is not null",
+    "variant_summary": _MIXED + _RANKS + f"select coalesce(variant_type, 'unknown') as variant_type, {_METRICS} from ranks join cases using (row_id) group by 1 order by n desc, 1 limit 3",
+    "source_split_two_way": f"with {_SPLIT} select source, case split when 'val' then 'train' else split end split from split",
     "source_split": f"with {_SPLIT} select source, split from split",
     "split_case_counts": f"with {_SPLIT}, {_MODAL} select split, count(*) n_cases from of_case join split using (source) group by 1",
     "negative_samples": _BASE

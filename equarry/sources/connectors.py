@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from equarry.functions.text import filled
 from equarry.session import materialize
 from equarry.sources.json_files import records
 
@@ -76,6 +78,49 @@ def extract(files: DataFrame, client: Callable[[str, bytes], str] | None, schema
     return records(answers.where("value is not null"), schema), answers.where("error is not null").select("path", "error")
 
 
+def with_source(rows: DataFrame, source: str) -> DataFrame:
+    """rows in which a blank source_id is the given one."""
+    return rows.withColumn("source_id", F.coalesce(filled("source_id"), F.lit(source)))
+
+
+def generate(spark: SparkSession, client: Callable[[str], str] | None, prompt: str, schema: str, catalog: DataFrame | None = None, most: int = 100_000, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Records that client makes of a prompt, tried again when it is rate limited. catalog, a table of at most most rows, is handed
+    over as JSON lines behind the prompt, so that the generator names only what exists; a larger one is refused. Text that isn't
+    JSON gives no rows."""
+    if client is None:
+        raise NotConfigured("no client for generation")
+    if catalog is not None:
+        lines = [r[0] for r in catalog.select(F.to_json(F.struct(*catalog.columns))).limit(most + 1).collect()]
+        if len(lines) > most:
+            raise ValueError(f"a catalog of more than {most} rows doesn't fit into a prompt")
+        prompt = prompt + "\n" + "\n".join(lines)
+    answer = with_retries(lambda: client(prompt), tries=tries, sleep=sleep)
+    return records(spark.createDataFrame([(answer,)], "value string"), schema)
+
+
+def until_ready(state: Callable[[], str], ready: str = "ACTIVE", failed: tuple[str, ...] = ("FAILED",), pause: float = 2.0, tries: int = 300, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Wait until an uploaded file is ready; a file that failed or stays unready is an error."""
+    for _ in range(tries):
+        if (now := state()) == ready:
+            return
+        if now in failed:
+            raise RuntimeError(f"upload is {now}")
+        sleep(pause)
+    raise TimeoutError(f"not {ready} after {tries} looks")
+
+
+class Throttle:
+    """Leaves at least pause seconds between calls."""
+
+    def __init__(self, pause: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.pause, self.clock, self.sleep, self.last = pause, clock, sleep, None
+
+    def wait(self) -> None:
+        if self.last is not None and (left := self.last + self.pause - self.clock()) > 0:
+            self.sleep(left)
+        self.last = self.clock()
+
+
 def paged(fetch: Callable[[str, int, int], object], query: str, limit: int, page: int = 100, sleep: Callable[[float], None] = time.sleep) -> list[dict]:
     """Up to limit results of a paged service; a page may be {"data": [...]}, a bare list, or anything else for nothing. Waits
     60 s longer after each refusal, four times at most."""

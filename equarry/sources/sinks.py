@@ -61,3 +61,28 @@ def markdown_table(df: DataFrame, by: str, most: int = 1000) -> str:
     rows = df.orderBy(F.desc(by)).limit(most).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
     return head + "".join("| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |\n" for r in rows)
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """A table of one row as one indented JSON object in a local file, nested values as they are."""
+    found = row.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"a report is one row, not {len(found)}")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(found[0].asDict(recursive=True), f, ensure_ascii=False, default=str, indent=2)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """A graph as the next version below folder: nodes(node, x, ...) and edges(src, dst); both count once the commit record is there."""
+    spark = nodes.sparkSession
+    n = current_version(spark, folder) + 1
+    nodes.write.mode("overwrite").parquet(f"{folder}/v{n}/nodes")
+    edges.write.mode("overwrite").parquet(f"{folder}/v{n}/edges")
+    spark.range(1).select(F.lit(n).alias("version")).write.mode("overwrite").parquet(f"{folder}/commits/{n}")
+
+
+def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes, edges) of the last version, None where none is stored."""
+    if not (n := current_version(spark, folder)):
+        return None
+    return spark.read.parquet(f"{folder}/v{n}/nodes"), spark.read.parquet(f"{folder}/v{n}/edges")

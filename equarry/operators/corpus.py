@@ -98,13 +98,17 @@ def merged_domain(domain: str, rules=DOMAIN_RULES) -> Column:
     return out.otherwise("Other")
 
 
+def new_rows(existing: DataFrame, new: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
+    """The rows of new whose key existing lacks, the first of each key. Keys are as stored, and null counts as a key."""
+    first = first_wins(new, keys, order, new.columns).select(*new.columns)
+    known = existing.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    return first.join(known, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
+
+
 def merge_new(existing: DataFrame, new: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
     """existing and the rows of new whose key it lacks, the first of each key; existing rows aren't deduplicated. Keys are as
     stored, and null counts as a key."""
-    first = first_wins(new, keys, order, new.columns).select(*new.columns)
-    known = existing.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return existing.unionByName(first.join(known, on, "left_anti"))
+    return existing.unionByName(new_rows(existing, new, keys, order))
 
 
 def pending_files(equations: DataFrame, ledger: DataFrame) -> DataFrame:

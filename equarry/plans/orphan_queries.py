@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from equarry.operators.orphans import OrphanTracker, keyed, open_orphans, orphan_at_creation, orphan_counts, references
 from equarry.plans.sqltext import global_key, items
 from equarry.sources.tables import table
@@ -27,7 +29,19 @@ def p3_open_by_month(spark, folder):
     return open_orphans(_tracked(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p3_open_by_month)}
+def p3_batches(spark, folder):
+    """The same state from the same events in three batches, cut without regard to their times: references before their parents,
+    withdrawals before arrivals, and the reverse."""
+    cases, cores = (references(table(spark, folder, t), t) for t in ("training_cases", "core_cases"))
+    refs, arrivals, deletions = cases.unionByName(cores), keyed(table(spark, folder, "equations"), "ingested_at"), keyed(table(spark, folder, "retired_equations"), "retired_at")
+    third = lambda df, c, k: df.where(F.pmod(F.xxhash64(c), F.lit(3)) == k)
+    tracker = OrphanTracker(spark)
+    for k in (0, 1, 2):
+        tracker.advance(third(refs, "row_id", k), third(arrivals, "at", (k + 1) % 3), third(deletions, "ref_key", 2 - k), "query", k)
+    return tracker.refs().where(orphan_at_creation()).select("table_name", "row_id", "ref_key")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_month, p3_open_by_month, p3_batches)}
 
 _REFS = f"""
 with parents as (select {global_key()} k, min(ingested_at) arrived from equations group by 1),
@@ -43,6 +57,7 @@ refs as (
 
 SQL = {
     "p3_found": _REFS + "select table_name, row_id, k as ref_key from refs where is_gone or not is_there",
+    "p3_batches": _REFS + "select table_name, row_id, k as ref_key from refs where is_gone or not is_there",
     "p3_by_month": _REFS
     + """select table_name, strftime(created_at, '%Y-%m') as month, count(*) n_refs,
   count(*) filter (is_gone or not is_there) n_orphans,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from equarry.session import shared_folder
-from equarry.sources.sinks import read_version
+from equarry.sources.sinks import read_deltas
 from equarry.sources.tables import table
 from equarry.streaming.ingest import ingest
 
@@ -16,7 +16,7 @@ def stream_ingest_dedup(spark, folder):
     rows = table(spark, folder, "equations").select("row_id", "source_id", "eq_id", "ingested_at")
     rows.write.parquet(f"{base}/in")
     ingest(spark, f"{base}/in", rows.schema, f"{base}/out", f"{base}/state", ["source_id", "eq_id"], files_per_batch=1000)
-    return read_version(spark, f"{base}/out").select("source_id", "eq_id")
+    return read_deltas(spark, f"{base}/out").select("source_id", "eq_id")
 
 
 QUERIES = {"stream_ingest_dedup": stream_ingest_dedup}

@@ -31,6 +31,17 @@ def read_version(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/v{current_version(spark, folder)}")
 
 
+def write_delta(df: DataFrame, folder: str) -> None:
+    """Add df as the next version of a table that grows: its rows are those of all versions (read_deltas)."""
+    write_version(df, folder)
+
+
+def read_deltas(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of all committed versions, None before the first."""
+    n = current_version(spark, folder)
+    return spark.read.parquet(*[f"{folder}/v{i}" for i in range(1, n + 1)]) if n else None
+
+
 def append_if_any(existing: DataFrame, added: DataFrame, folder: str) -> bool:
     """A new version of existing and added, only if something was added."""
     if not added.limit(1).count():

@@ -171,3 +171,18 @@ def test_orphans_in_any_batches(spark):
     empty = OrphanTracker(spark)
     empty.advance()
     assert empty.refs().count() == 0 and orphan_counts(empty.refs()).count() == 0
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    ref = lambda rows: references(spark.createDataFrame(rows, "row_id bigint, created_at timestamp_ntz, correct_model_ids array<string>"), "t")
+    tracker = OrphanTracker(spark, str(tmp_path / "o"), buckets=8)
+    tracker.advance(ref([(i, T[5], [f"k__{i}", "hot__1"]) for i in range(60)]), stream="s", batch=0)
+    assert set(tracker.held["refs"]) == set(range(8)) and tracker.refs().count() == 120
+    tracker.advance(arrivals=keyed(spark.createDataFrame([("k", "7", T[1])], "source_id string, eq_id string, at timestamp_ntz"), "at"), stream="s", batch=1)
+    assert sorted(tracker.held["refs"].values()) == [1] * 7 + [2] and list(tracker.held["parents"].values()) == [2]
+    again = OrphanTracker(spark, str(tmp_path / "o"))
+    again.advance(ref([(99, T[5], ["k__99"])]), stream="s", batch=1)  # replayed: nothing
+    assert again.version == 2 and again.refs().count() == 120 and again.refs().where(~orphan_at_creation()).count() == 1
+    again.advance(ref([(99, T[5], ["k__99"])]), stream="other", batch=0)
+    again.advance(ref([(100, T[5], ["k__99"])]), stream="s", batch=2)
+    assert OrphanTracker(spark, str(tmp_path / "o")).refs().count() == 122

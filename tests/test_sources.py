@@ -83,7 +83,7 @@ def test_streams(spark, tmp_path):
         if rows:
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run()
-        assert sinks.read_version(spark, str(tmp_path / "out")).count() == (1, 1, 3)[k]
+        assert sinks.read_deltas(spark, str(tmp_path / "out")).count() == (1, 1, 3)[k]
     case = "row_id bigint, created_at timestamp_ntz, correct_model_ids array<string>"
     tracker = OrphanTracker(spark, str(tmp_path / "orphans"))
     for i in (1, 2):

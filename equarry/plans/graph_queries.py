@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from equarry.operators import graph as G
 from equarry.operators import learning as L
+from equarry.operators import models as M
 from equarry.operators import vectors as V
 from equarry.operators.corpus import equation_text
 from equarry.operators.svd import TfIdfSvd
@@ -63,6 +64,23 @@ def _grid(s, d):
     return L.grid_search([(rate, decay) for rate in (1e-3, 5e-4) for decay in (0.0, 1e-3)], labelled)
 
 
+def _formula(rows: int, columns: int) -> np.ndarray:
+    i, j = np.mgrid[:rows, :columns]
+    return ((i * 7 + j * 3) % 11 - 5) / 10
+
+
+def _two_layers(s, d):
+    """Two graph convolutions with weights given by a formula, 64 to 8 to 4 numbers."""
+    nodes = _nodes(s, d).join(_eq(s, d).select(F.col("row_id").alias("node")), "node", "left_semi")
+    out = M.two_layers(G.arcs_between(_eq(s, d), nodes), nodes, _formula(64, 8), _formula(8, 4))
+    return out.select("node", F.posexplode("x").alias("dim", "v")).select("node", "dim", (F.round("v", 4) + 0.0).alias("value"))
+
+
+def _models(s, d):
+    sample, _ = M.sample_of(table(s, d, "training_cases"), _eq(s, d))
+    return M.model_grid(sample, s)
+
+
 def _argmax(s, d):
     runs = table(s, d, "events").groupBy(F.col("event_type").alias("config")).agg(F.round(F.avg("value"), 6).alias("score"), F.min("event_id").alias("run"))
     return L.best_run(runs, "score")
@@ -82,6 +100,9 @@ QUERIES = {
     "pca_2d": lambda s, d: V.principal_components(_nodes(s, d)),
     "residual_alpha0_identity": _residual,
     "grid_search_infonce": _grid,
+    "gcn2_fixed": _two_layers,
+    "model_grid": _models,
+    "model_best": lambda s, d: L.best_run(_models(s, d), "val_mrr"),
     "config_argmax": _argmax,
 }
 
@@ -107,6 +128,15 @@ arcs as (select distinct x.node src, y.node dst from keys x join keys y on x.k =
 deg as (select src node, count(*) d from arcs group by 1),
 terms as (select dst, 1 / sqrt(a.d * b.d) c, x, unnest(range(0, len(x)))::int dim from arcs join deg a on src = a.node join deg b on dst = b.node join nodes n on src = n.node)
 select dst node, dim, round(sum(c * x[dim + 1]::double), {G.DIGITS}) + 0.0 as value from terms group by 1, 2""",
+    "gcn2_fixed": """with nodes as (select vec_id node, embedding x from embeddings where vec_id in (select row_id from equations)),
+keys as (select row_id node, unnest(map_keys(variables)) k from equations where row_id in (select node from nodes)),
+arcs as (select distinct x.node src, y.node dst from keys x join keys y on x.k = y.k and x.node <> y.node union all select node, node from nodes),
+deg as (select src node, count(*) d from arcs group by 1),
+coef as (select src, dst, 1 / sqrt(a.d * b.d) c from arcs join deg a on src = a.node join deg b on dst = b.node),
+h1 as (select node, j, sum(x[i + 1]::double * ((i * 7 + j * 3) % 11 - 5) / 10.0::double) v from nodes, (select unnest(range(64)) i), (select unnest(range(8)) j) group by 1, 2),
+p1 as (select dst node, j, greatest(sum(c * v), 0) v from coef join h1 on src = node group by 1, 2),
+h2 as (select node, m, sum(v * ((j * 7 + m * 3) % 11 - 5) / 10.0::double) v from p1, (select unnest(range(4)) m) group by 1, 2)
+select dst node, m::int dim, round(sum(c * v), 4) + 0.0 as value from coef join h2 on src = node group by 1, 2""",
     "embedding_cosine_topk": f"""select q.vec_id query, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) score,
   row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) desc, v.vec_id) place
 from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % {V.EVERY} = 0 qualify place <= 10""",

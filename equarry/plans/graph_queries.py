@@ -36,25 +36,19 @@ def _propagated_all(s, d):
 
 
 def _svd(s, d):
-    """Cosine of neighbouring vectors in the space of the eight largest singular values."""
+    """Coordinates of the vectors in the space of the eight largest singular values."""
     rows = _nodes(s, d)
     _, basis = V.singular_basis(rows, 8)
     return V.project(rows, basis)
 
 
 def _residual(s, d):
-    """How far the refiner with weight 0 moves each vector."""
-
-    def run(batches):
-        rng = np.random.default_rng(1)
-        for pdf in batches:
-            x = L.unit(np.array(pdf["x"].tolist(), np.float64).reshape(len(pdf), -1))
-            w = rng.normal(size=(x.shape[1], x.shape[1])) if len(pdf) else np.zeros((0, 0))
-            arcs = np.arange(max(len(x) - 1, 0))
-            y = L.refine(x, L.propagation(len(x), arcs, arcs + 1), w, w, 0.0) if len(pdf) else x
-            yield pdf[["node"]].assign(moved=np.round(np.abs(y - x).max(1), 9) if len(pdf) else [])
-
-    return _nodes(s, d).mapInPandas(run, "node bigint, moved double")
+    """How far a refiner of weight 0 moves each vector, over the whole symbol graph."""
+    nodes = _nodes(s, d)
+    after = M.refined(_eq(s, d), nodes, M.Refiner.fresh(64, np.random.default_rng(1))).withColumnRenamed("x", "y")
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double")))
+    far = F.array_max(F.zip_with("x", "y", lambda x, y: F.abs(x.cast("double") / length - y)))
+    return nodes.join(after, "node").select("node", (F.round(far, 9) + 0.0).alias("moved"))
 
 
 def _grid(s, d):

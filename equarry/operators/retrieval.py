@@ -91,11 +91,12 @@ class Index:
         """The candidates as rows to score, and the cases in blocks with their scores: text times the cosine of the texts and symbol
         times the overlap of the symbols. This is what ranks and best candidates are counted by; the score tables below are for
         those who want every pair."""
-        if "overlap" not in self._stored:
+        name = "overlap" if text else "overlapsymbols"
+        if name not in self._stored:
             symbols = F.array_distinct(F.filter(F.transform(F.map_keys("variables"), norm), lambda x: x != ""))
-            self._stored["overlap"] = Overlap(self.rows.select(F.col("idx").alias("id"), equation_text().alias("text"), symbols.alias("symbols")), VOCABULARY)
+            self._stored[name] = Overlap(self.rows.select(F.col("idx").alias("id"), equation_text().alias("text"), symbols.alias("symbols")), VOCABULARY, bool(text))
         asked = cases.select(F.col("row_id").alias("id"), norm("context").alias("text"), case_symbols().alias("symbols"))
-        return self._stored["overlap"].rows, self._stored["overlap"].blocks(asked, text, symbol)
+        return self._stored[name].rows, self._stored[name].blocks(asked, text, symbol)
 
     def best(self, cases: DataFrame, k: int, text: float = TEXT_WEIGHT, symbol: float = SYMBOL_WEIGHT) -> DataFrame:
         """(row_id, idx, score, place): the k best candidates of each case."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from equarry.operators.cases import modal_source
 from equarry.operators.corpus import case_text, equation_text
 from equarry.operators.encoding import encode, hashed_terms
-from equarry.operators.graph import propagate_all, spread
+from equarry.operators.graph import propagate_all, spread, tied_classes
 from equarry.operators.learning import EPOCHS, NEGATIVES, TEMPERATURE, Adam, contrastive_gradient, train_query_model, unit
 from equarry.operators.retrieval import indexed, positives, source_split
 from equarry.operators.svd import TfIdfSvd
@@ -217,9 +217,10 @@ def model_grid(sample: Sample, spark, query_grid=QUERY_GRID, refiner_grid=REFINE
 
 def refined(equations: DataFrame, vectors: DataFrame, model: Refiner) -> DataFrame:
     """(node, x): a fitted refiner applied to vectors(node, x) of all equations, over their whole graph."""
-    hidden = propagate_all(equations, materialize(dense(vectors, model.w1), "refiner"), None)
+    tied = tied_classes(equations)
+    hidden = propagate_all(equations, materialize(dense(vectors, model.w1), "refiner"), None, tied)
     hidden = materialize(dense(hidden, np.eye(len(model.b1)), model.b1), "hidden")
-    far = propagate_all(equations, materialize(dense(hidden, model.w2, positive=True), "refiner"), None)
+    far = propagate_all(equations, materialize(dense(hidden, model.w2, positive=True), "refiner"), None, tied)
     alpha, bias = float(np.clip(model.alpha[0], -1, 1)), model.b2
 
     def run(batches):

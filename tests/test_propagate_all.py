@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from equarry.operators import graph
+from equarry.operators import graph, models
 from equarry.plans import registry
 
 
@@ -23,3 +23,13 @@ def test_gcn_propagate_all_gives_every_equation_a_row(spark):
     folder = "/root/testdata/sf0.001"
     nodes = {r[0] for r in spark.read.parquet(f"{folder}/equations.parquet").select("row_id").collect()}
     assert {r["node"] for r in registry.QUERIES["gcn_propagate_all"](spark, folder).select("node").collect()} == nodes
+
+
+def test_both_steps_of_the_refiner_share_one_list_of_classes(spark, monkeypatch):
+    """The driver held and sent the classes' symbols once for each step."""
+    made, init = [], graph.Ties.__init__
+    monkeypatch.setattr(graph.Ties, "__init__", lambda self, lists: made.append(1) or init(self, lists))
+    equations = spark.createDataFrame([(1, {"a": ""}), (2, {"a": "", "b": ""}), (3, {"b": ""})], "row_id bigint, variables map<string,string>")
+    vectors = spark.createDataFrame([(i, [3.0, 4.0]) for i in (1, 2, 3)], "node bigint, x array<double>")
+    got = models.refined(equations, vectors, models.Refiner.fresh(2, np.random.default_rng(1))).collect()
+    assert len(made) == 1 and all(np.allclose(r["x"], [0.6, 0.8]) for r in got) and len(got) == 3

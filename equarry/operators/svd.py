@@ -104,17 +104,21 @@ class TfIdfSvd:
         self.rows = materialize(self.counted(texts), "tfidf")
         m = np.random.default_rng(SEED).standard_normal((len(self.idf), min(dims + OVERSAMPLED, len(self.idf))), np.float32)
         for _ in range(rounds):
-            m = self._gram_times(orthonormal(m))
+            m = orthonormal(m)
+            for at, x in self._gram_times(m):
+                m[:, at : at + COLUMNS] = x
         m = orthonormal(m)
-        value, basis = np.linalg.eigh(product(m, self._gram_times(m)))
+        value, basis = np.linalg.eigh(np.concatenate([product(m, x) for _, x in self._gram_times(m)], 1))
         order = np.argsort(-value)[:dims]
-        self.values, self.basis = np.sqrt(np.maximum(value[order], 0)), m @ basis[:, order].astype(np.float32)
+        turn = basis[:, order].astype(np.float32)
+        for at in range(0, len(m), SLICE):
+            m[at : at + SLICE, : turn.shape[1]] = m[at : at + SLICE] @ turn
+        self.values, self.basis = np.sqrt(np.maximum(value[order], 0)), m[:, : turn.shape[1]].copy()
 
-    def _gram_times(self, m: np.ndarray) -> np.ndarray:
-        out = np.empty_like(m)
+    def _gram_times(self, m: np.ndarray):
+        """The Gram matrix times COLUMNS columns of m at a time, which may be overwritten then: the driver holds one matrix."""
         for at in range(0, m.shape[1], COLUMNS):
-            out[:, at : at + COLUMNS] = self._columns_times(np.ascontiguousarray(m[:, at : at + COLUMNS]))
-        return out
+            yield at, self._columns_times(np.ascontiguousarray(m[:, at : at + COLUMNS]))
 
     def _columns_times(self, m: np.ndarray) -> np.ndarray:
         sent, idf, head = self.sc.broadcast(m), self.idf, self.head
@@ -140,7 +144,8 @@ class TfIdfSvd:
 
     def vectors(self, texts: DataFrame) -> DataFrame:
         """(node, x): texts(id, text) in the space of the singular vectors, of length 1; 0 for a text without a known term."""
-        sent, idf, head = self.sc.broadcast(self.basis), self.idf, self.head
+        self.sent = sent = self.sc.broadcast(self.basis)
+        idf, head = self.idf, self.head
 
         def run(batches):
             for pdf in batches:
@@ -149,6 +154,17 @@ class TfIdfSvd:
 
         return self.counted(texts).mapInPandas(run, "node bigint, x array<float>")
 
+    def drop(self) -> None:
+        """Removes the stored texts and their terms; vectors() needs neither."""
+        drop_table(self.candidates)
+        drop_table(self.rows)
+
+    def stored_vectors(self, texts: DataFrame) -> DataFrame:
+        """vectors() as a stored table; the singular vectors are then removed from all machines' disks."""
+        out = materialize(self.vectors(texts), "nodevectors")
+        self.sent.destroy()
+        return out
+
     def best_ranks(self, cases: DataFrame) -> DataFrame:
         """(row_id, best_rank): the place of a case's best positive among all candidates by cosine, rounded, equal ones by idx."""
         right = materialize(positives(cases, self.candidates), "positives")

@@ -33,3 +33,18 @@ def test_both_steps_of_the_refiner_share_one_list_of_classes(spark, monkeypatch)
     vectors = spark.createDataFrame([(i, [3.0, 4.0]) for i in (1, 2, 3)], "node bigint, x array<double>")
     got = models.refined(equations, vectors, models.Refiner.fresh(2, np.random.default_rng(1))).collect()
     assert len(made) == 1 and all(np.allclose(r["x"], [0.6, 0.8]) for r in got) and len(got) == 3
+
+
+def test_what_is_sent_does_not_grow_with_the_vectors(spark, monkeypatch):
+    """The driver held and sent a class' sums, 8 bytes for each number of a vector."""
+    import pickle
+
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or broadcast(self, value))
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    n, dims = 300, 200
+    equations = spark.range(n).selectExpr("id as row_id", "map(concat('s', id), '', concat('s', (id + 1) % 300), '') as variables")
+    vectors = spark.range(n + 1).selectExpr("id as node", f"transform(sequence(1, {dims}), i -> cast(id + i as double)) as x")
+    got = {r["node"]: r["x"] for r in graph.propagate_all(equations, vectors, None).collect()}
+    assert len(sent) == 2 and max(sent) < 60 * n
+    assert all(np.allclose(got[i], [((i - 1) % n + i + (i + 1) % n) / 3 + j for j in range(1, dims + 1)]) for i in range(n)) and got[n][0] == n + 1

@@ -50,3 +50,15 @@ def test_few_pairs_are_left_to_be_computed():
     right = x.exact(of, np.arange(len(asked)))
     sharp = blocks.Bounds(group).sharp(x, right.astype(np.float32))
     assert sharp[right > 0.5].mean() > 0.8 and not sharp[right < 0.05].any()
+
+
+def test_places_of_queries_terms_are_found_once():
+    """They were searched for each block of pairs that was scored exactly."""
+    rows, asked, idf, of = made()
+    group = blocks.Group(asked, idf, 0.7, 0.3)
+    x, found = blocks._Rows(rows, group), group.begins()
+    with_text = group.only(np.flatnonzero(asked["t"].map(len) > 0))
+    y = x.under(with_text)
+    score = y.exact(of[: len(with_text.ids)], np.arange(len(with_text.ids)))
+    assert group.begins() is found and with_text.begins() is with_text.starts and with_text.begins() is not found
+    assert np.array_equal(score, x.exact(of[: len(with_text.ids)], with_text.ids))

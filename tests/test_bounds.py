@@ -1,5 +1,7 @@
 """Bounds of scores: no pair is above its bound, and few bounds reach what a query's right row scores."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -62,3 +64,53 @@ def test_places_of_queries_terms_are_found_once():
     score = y.exact(of[: len(with_text.ids)], np.arange(len(with_text.ids)))
     assert group.begins() is found and with_text.begins() is with_text.starts and with_text.begins() is not found
     assert np.array_equal(score, x.exact(of[: len(with_text.ids)], with_text.ids))
+
+
+@pytest.mark.parametrize("gathered", [1, 50, 2_000_000])
+def test_terms_are_counted_as_numbers(spark, monkeypatch, gathered):
+    """They were counted as texts, one at a time; now in whole batches, of which some are put together."""
+    monkeypatch.setattr(blocks, "GATHERED", gathered)
+    rng = np.random.default_rng(3)
+    lists = [[f"w{min(x, 40)}" for x in rng.pareto(0.5, rng.integers(0, 9)).astype(int)] for _ in range(300)] + [[], ["w1", "w1", "w1"]]
+    grams = [[*g, *(f"{a} {b}" for a, b in zip(g, g[1:]))] for g in lists]
+    tf, df = Counter(x for g in grams for x in g), Counter(x for g in grams for x in set(g))
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["g"])
+    got_tf, got_df = Counter(), Counter()
+    for part in blocks._gathered((batch.slice(i, 7) for i in range(0, len(batch), 7)), "g", gathered):
+        x = blocks._Terms(part.column("g"))
+        words, size = x.words.to_pylist(), len(x.words)
+        for key, n, k in (*zip(*blocks._tallied(x.code, x.row, len(part))), *zip(*blocks._tallied(size + x.pairs(x.code, size), x.row[x.first], len(part)))):
+            name = words[key] if key < size else f"{words[(key - size) // size]} {words[(key - size) % size]}"
+            got_tf[name] += int(n)
+            got_df[name] += int(k)
+    assert (got_tf, got_df) == (tf, df)
+    texts = spark.createDataFrame([(i, " ".join(g)) for i, g in enumerate(lists)], "id bigint, text string")
+    assert {r["term"]: (r["tf"], r["df"]) for r in blocks.term_totals(texts).collect()} == {x: (tf[x], df[x]) for x in tf}
+    vocabulary = blocks.Vocabulary(texts, 25)
+    number = vocabulary.number.value
+    assert list(number) == sorted(tf, key=lambda x: (-tf[x], x))[:25]
+    for r in vocabulary.counted(texts).collect():
+        assert dict(zip(r["t"], r["c"])) == Counter(number[x] for x in grams[r["id"]] if x in number) and r["t"] == sorted(r["t"])
+
+
+def test_keys_too_large_to_hold_a_row_are_counted():
+    key, row = np.array([2**61, 5, 2**61, 5, 2**61]), np.array([0, 1, 0, 2, 3])
+    assert [x.tolist() for x in blocks._tallied(key, row, 4)] == [[5, 2**61], [2, 3], [2, 2]]
+
+
+def test_queries_are_divided_once_in_a_process():
+    """Bounds of all queries were made again for each task; what shared symbols may count is added without a pass over all pairs."""
+    rows, asked, idf, of = made()
+    group = blocks.Group(asked, idf, 0.7, 0.3)
+    x, low = blocks._Rows(rows, group), np.full(len(asked), 0.4, np.float32)
+    first = group.divided(x, low)
+    assert group.divided(x, low) is first and group.__getstate__()["split"] is None
+    bounds, blunt, rest = first
+    places = np.concatenate([own for own, *_ in bounds.parts])
+    assert sorted([*places, *blunt]) == list(range(len(asked))) and np.array_equal(rest.ids, group.ids[blunt])
+    q = np.arange(len(asked))
+    for at, own, m in bounds.of(x):
+        r, j = np.divmod(np.arange(m.size), m.shape[1])
+        assert (m.reshape(-1) >= x.exact(at + r, q[own[j]]) - blocks.SLACK + blocks.HALF).all()
+    met = np.random.default_rng(1).random((700, 5)) < 0.9
+    assert np.array_equal(blocks._many(met), met.sum(0)) and np.array_equal(blocks._many(met[:0]), np.zeros(5))

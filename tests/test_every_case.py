@@ -22,3 +22,32 @@ def test_mix_score_topk(spark, whole):
     got = registry.QUERIES["mix_score_topk"](spark, FOLDER).collect()
     assert {(r["row_id"], r["idx"], round(r["score"], 5)) for r in got} == want
     assert len({r["row_id"] for r in got}) > 0.9 * whole[0].count() and f"% {R.EVERY}" not in registry.SQL["mix_score_topk"]
+
+
+def metrics_of(ranks, cases, of):
+    """{group: (n, mrr, recall@1, 3, 5, 10)} of the ranks, by what of gives for a case."""
+    groups, seen = {}, {r["row_id"]: r for r in cases.collect()}
+    for row_id, rank in ranks.items():
+        groups.setdefault(of(seen[row_id]), []).append(rank)
+    share = lambda x, k: sum(r <= k for r in x) / len(x)
+    return {g: (len(x), *(round(v, 5) for v in (sum(1 / r for r in x) / len(x), *(share(x, k) for k in (1, 3, 5, 10))))) for g, x in groups.items()}
+
+
+@pytest.fixture(scope="module")
+def ranks(whole):
+    cases, index, scores = whole
+    return {r["row_id"]: r["best_rank"] for r in R.best_ranks(scores, R.positives(cases, index.rows), index.rows).collect()}
+
+
+def given(spark, name, *group):
+    """The query's rows as metrics_of gives them; its SQL takes every case."""
+    assert f"% {R.EVERY}" not in registry.SQL[name]
+    return {tuple(r[g] for g in group): (r["n"], *(round(r[c], 5) for c in ("mrr", "recall_1", "recall_3", "recall_5", "recall_10"))) for r in registry.QUERIES[name](spark, FOLDER).collect()}
+
+
+def near(got, want):
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-5) for k in want)
+
+
+def test_retrieval_metrics_by_group(spark, whole, ranks):
+    near(given(spark, "retrieval_metrics_by_group", "variant_type"), metrics_of(ranks, whole[0], lambda r: (r["variant_type"] or "unknown",)))

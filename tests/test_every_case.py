@@ -51,3 +51,8 @@ def near(got, want):
 
 def test_retrieval_metrics_by_group(spark, whole, ranks):
     near(given(spark, "retrieval_metrics_by_group", "variant_type"), metrics_of(ranks, whole[0], lambda r: (r["variant_type"] or "unknown",)))
+
+
+def test_variant_summary(spark, whole, ranks):
+    every = metrics_of(ranks, whole[0], lambda r: (r["variant_type"] or "unknown",))
+    near(given(spark, "variant_summary", "variant_type"), dict(sorted(every.items(), key=lambda x: (-x[1][0], x[0]))[:3]))

@@ -3,6 +3,7 @@
 import pytest
 
 from equarry.operators import retrieval as R
+from equarry.operators.cases import modal_source
 from equarry.plans import registry
 from equarry.sources.tables import table
 
@@ -56,3 +57,10 @@ def test_retrieval_metrics_by_group(spark, whole, ranks):
 def test_variant_summary(spark, whole, ranks):
     every = metrics_of(ranks, whole[0], lambda r: (r["variant_type"] or "unknown",))
     near(given(spark, "variant_summary", "variant_type"), dict(sorted(every.items(), key=lambda x: (-x[1][0], x[0]))[:3]))
+
+
+def test_retrieval_metrics_by_split(spark, whole, ranks):
+    split = {r["source"]: r["split"] for r in R.source_split(table(spark, FOLDER, "equations")).collect()}
+    source = {r["row_id"]: r["source"] for r in modal_source(whole[0]).collect()}
+    ranked = {i: r for i, r in ranks.items() if source[i] in split}
+    near(given(spark, "retrieval_metrics_by_split", "split"), metrics_of(ranked, whole[0], lambda r: (split[source[r["row_id"]]],)))

@@ -64,3 +64,8 @@ def test_retrieval_metrics_by_split(spark, whole, ranks):
     source = {r["row_id"]: r["source"] for r in modal_source(whole[0]).collect()}
     ranked = {i: r for i, r in ranks.items() if source[i] in split}
     near(given(spark, "retrieval_metrics_by_split", "split"), metrics_of(ranked, whole[0], lambda r: (split[source[r["row_id"]]],)))
+
+
+def test_retrieval_metrics_nonblank(spark, whole, ranks):
+    blank = {r["row_id"] for r in whole[0].collect() if not (r["context"] or "").strip()}
+    near(given(spark, "retrieval_metrics_nonblank"), metrics_of({i: r for i, r in ranks.items() if i not in blank}, whole[0], lambda r: ()))

@@ -114,3 +114,38 @@ def test_queries_are_divided_once_in_a_process():
         assert (m.reshape(-1) >= x.exact(at + r, q[own[j]]) - blocks.SLACK + blocks.HALF).all()
     met = np.random.default_rng(1).random((700, 5)) < 0.9
     assert np.array_equal(blocks._many(met), met.sum(0)) and np.array_equal(blocks._many(met[:0]), np.zeros(5))
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_best_rows_over_several_choices(spark, k):
+    """The best so far are chosen again where many better ones are held, and what isn't among them is dropped before that."""
+    rows, asked, idf, _ = made(5200, 60)
+    group = blocks.Group(asked, idf, 0.7, 0.3)
+    x = blocks._Rows(rows, group)
+    n = len(x.ids)
+    exact = x.exact(np.repeat(np.arange(n), len(asked)), np.tile(np.arange(len(asked)), n)).reshape(n, -1)
+    want = {}
+    for q in range(len(asked)):
+        order = np.lexsort((x.ids, -exact[:, q]))[:k]
+        want[q] = [(int(x.ids[i]), exact[i, q]) for i in order if exact[i, q] > 0]
+    df = spark.createDataFrame(pa.Table.from_batches([rows]).to_pandas()[["id", "t", "c", "symbols"]], "id bigint, t array<int>, c array<int>, symbols array<string>").coalesce(1)
+    got = {}
+    for r in blocks.group_top(df, [group], k).orderBy("row_id", "place").collect():
+        got.setdefault(r["row_id"], []).append((r["idx"], r["score"]))
+    assert got == {q: x for q, x in want.items() if x}
+
+
+def test_exact_scores_of_pairs_in_any_order():
+    """They are those of single pairs, also where rows come again and in parts."""
+    rows, asked, idf, _ = made(200, 40)
+    group = blocks.Group(asked, idf, 0.7, 0.3)
+    x, rng = blocks._Rows(rows, group), np.random.default_rng(2)
+    r, q = rng.integers(0, 200, 3000), rng.integers(0, 40, 3000)
+    term = [dict(zip(x.term[a:b].tolist(), x.w[a:b].tolist())) for a, b in zip(x.ends, x.ends[1:])]
+    of = [dict(zip(group.term[group.row == i].tolist(), group.w[group.row == i].tolist())) for i in range(40)]
+    names = [set(s.as_py()) for s in rows.column("symbols")]
+    for i, j, got in zip(r, q, x.exact(r, q)):
+        text = sum(w * term[i].get(t, 0.0) for t, w in of[j].items())
+        both, either = names[i] & set(asked["symbols"][j]), names[i] | set(asked["symbols"][j])
+        assert got == pytest.approx(0.7 * text + 0.3 * (len(both) / max(len(either), 1)), abs=1.1e-6)
+    assert not any(grid.any() for grid in x.grids.values())
